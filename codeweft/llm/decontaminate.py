@@ -7,9 +7,11 @@ rarest. Documents join on that shingle alone; the shingle's place in the window
 window can stand (positional bound), which must lie inside the text (length bound), and the words there are compared
 one by one.
 
-The join carries a document's words along by reference: shingles explode and probe in one stage, without a shuffle of
-texts. Windows are probed in blocks of BLOCK, so that what is broadcast stays bounded for any benchmark. Results are
-gathered per distinct text (copies add nothing) and joined back to the documents.
+The documents are read once: their shingles explode and probe the benchmark's shingles in one stage that carries the
+words along by reference, without a shuffle of texts. Only shingles that the benchmark has are written, with the words
+around them; rarity, the prefix join, the bounds and the comparison work on that small table. Windows are probed in
+blocks of BLOCK, so that what is broadcast stays bounded for any benchmark. Results are gathered per distinct text
+(copies add nothing) and joined back to the documents.
 
 Defined results: null or empty text has no words, hits or items, and the digest of the empty string; items without
 words have no windows; equal items count by item_id; a null item_id counts as no item; an empty benchmark or document
@@ -21,13 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import ALNUM, lowered, materialise, table
+from codeweft.llm.common import alnum_words, materialise, table
 
 WINDOW, SHINGLE, BLOCK = 13, 5, 200_000
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(F.coalesce(text, F.lit(""))), F.lit(ALNUM), F.lit(0))
+WINDOW_MOST = 13
 
 
 def shingles_of(words: Column, k: int) -> Column:
@@ -37,12 +36,17 @@ def shingles_of(words: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), part)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """Distinct windows: window_id (a hash of the words), words, k (words in its shingles)."""
-    items = benchmark.select(words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
+def _cut(items: DataFrame, window: int) -> DataFrame:
+    """A row for each window of each item: its columns but w, and words."""
     n = F.size("w")
     starts = F.when(n <= window, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), n - (window - 1)))
-    out = items.select("w", F.explode(starts).alias("at")).select(F.slice("w", F.col("at"), F.lit(window)).alias("words")).distinct()
+    kept = [c for c in items.columns if c != "w"]
+    return items.where(n > 0).select(*kept, "w", F.explode(starts).alias("at")).select(*kept, F.slice("w", F.col("at"), F.lit(window)).alias("words"))
+
+
+def _windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """Distinct windows: window_id, words, k (words in its shingles)."""
+    out = _cut(benchmark.select(alnum_words(F.col("text")).alias("w")), window).distinct()
     return out.withColumn("k", F.least(F.size("words"), F.lit(SHINGLE))).withColumn("window_id", F.monotonically_increasing_id())
 
 
@@ -50,84 +54,85 @@ def _window_shingles(windows: DataFrame, k: int) -> DataFrame:
     return windows.where(F.col("k") == k).select("window_id", "words", F.posexplode(shingles_of(F.col("words"), k)).alias("offset", "shingle"))
 
 
-def occurrences(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """Where windows stand: key, n_words, start (from 0), length, window_id. texts: key, words."""
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _probe(docs: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
+    """Positions whose shingle the benchmark has, with the words from around - before to around + after; besides, each
+    document's first position (pos 0) in any case. docs: doc_id, text."""
+    words = docs.select("doc_id", text_key(F.col("text")).alias("key"), alnum_words(F.col("text")).alias("words"))
+    at = words.select("doc_id", "key", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - k))).alias("pos"))
+    hashed = F.xxhash64(*[F.get("words", F.col("pos") + j) for j in range(k)])
+    at = at.withColumn("shingle", F.when(F.size("words") >= k, hashed))
+    known = tokens.select("shingle").distinct().withColumn("known", F.lit(True))
+    at = at.join(F.broadcast(known), "shingle", "left").where("known or pos = 0")
+    begin = F.greatest(F.lit(0), F.col("pos") - (WINDOW_MOST - 1))
+    around = F.when(F.col("known"), F.slice("words", begin + 1, F.lit(2 * WINDOW_MOST - 1)))
+    return at.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), "pos", F.when(F.col("known"), F.col("shingle")).alias("shingle"), begin.alias("begin"), around.alias("around"))
+
+
+def _hits(probed: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Verified occurrences: key, start (from 0), length, window_id."""
+    seen = probed.where("shingle is not null").select("key", "n_words", "pos", "shingle", "begin", "around")
+    often = seen.groupBy("shingle").agg(F.count("*").alias("often"))
+    # a window with a shingle that no document has can't occur: it comes first, and finds nothing
+    rarest = F.row_number().over(Window.partitionBy("window_id").orderBy(F.coalesce("often", F.lit(0)), "offset", "shingle"))
+    prefix = tokens.join(often, "shingle", "left").withColumn("r", rarest).where("r = 1 and often > 0")
+    prefix = prefix.select("window_id", "offset", "shingle", F.col("words").alias("expected"))
+    start, length = F.col("pos") - F.col("offset"), F.size("expected")
+    found = seen.join(prefix, "shingle").where((start >= 0) & (start + length <= F.col("n_words")))
+    found = found.where(F.slice("around", start - F.col("begin") + 1, length) == F.col("expected"))
+    return found.select("key", start.alias("start"), length.alias("length"), "window_id").distinct()
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All documents (doc_id, key, n_words), and for each distinct text with a hit: key, n_hit, items (sorted ids as
+    strings). docs: doc_id, text. window: WINDOW_MOST at most."""
     windows = materialise(_windows(benchmark, window), "bench-windows")
     blocks = max(1, -(-windows.count() // block))
-    sizes = [r.k for r in windows.select("k").distinct().collect()]  # SHINGLE values at most
-    found = None
+    sizes = sorted({SHINGLE} | {r.k for r in windows.select("k").distinct().collect()})  # SHINGLE values at most
+    rows, found = None, None
     for k in sizes:
         for part in range(blocks):
-            mine = windows.where(F.pmod(F.xxhash64("window_id"), F.lit(blocks)) == part)
-            tokens = _window_shingles(mine, k)
-            known = tokens.select("shingle").distinct()
-            probe = texts.select("key", "words", F.posexplode(shingles_of(F.col("words"), k)).alias("pos", "shingle"))
-            often = probe.join(F.broadcast(known), "shingle").groupBy("shingle").agg(F.count("*").alias("often"))
-            # a window with a shingle that no document has can't occur
-            rarest = F.row_number().over(Window.partitionBy("window_id").orderBy(F.coalesce("often", F.lit(0)), "offset", "shingle"))
-            prefix = tokens.join(often, "shingle", "left").withColumn("r", rarest).where("r = 1 and often > 0").select("window_id", "offset", "shingle", F.col("words").alias("expected"))
-            prefix = materialise(prefix, "bench-prefix")
-            start = F.col("pos") - F.col("offset")
-            length = F.size("expected")
-            hits = probe.join(F.broadcast(prefix), "shingle").where((start >= 0) & (start + length <= F.size("words")))
-            hits = hits.where(F.slice("words", start + 1, length) == F.col("expected")).select("key", start.alias("start"), length.alias("length"), "window_id").distinct()
+            tokens = _window_shingles(windows.where(F.pmod(F.xxhash64("window_id"), F.lit(blocks)) == part), k)
+            probed = materialise(_probe(docs, tokens, k), "bench-probe")
+            rows = probed.where("pos = 0").select("doc_id", "key", "n_words") if rows is None else rows
+            hits = _hits(probed, tokens)
             found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = texts.select("key", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("window_id")).where(F.lit(False))
-    return materialise(found, "bench-hits"), windows
-
-
-def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
-
-
-def contaminated_texts(texts: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """For each distinct text with a hit: key, n_hit, items (sorted item ids as strings). texts: text, key."""
-    rows = texts.select("key", words_of(F.col("text")).alias("words"))
-    found, windows = occurrences(rows, benchmark, window, block)
+    found = materialise(found, "bench-hits")
     # words inside any occurrence: of each, those beyond the furthest end so far
     w = Window.partitionBy("key").orderBy("start", "length", "window_id")
     end = F.col("start") + F.col("length")
     furthest = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hit = found.withColumn("fresh", F.greatest(F.lit(0), end - F.greatest("start", furthest))).groupBy("key").agg(F.sum("fresh").alias("n_hit"))
-    n = F.size("w")
-    starts = F.when(n <= window, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), n - (window - 1)))
-    owners = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    owners = owners.select("item", F.explode(starts).alias("at"), "w").select("item", F.slice("w", F.col("at"), F.lit(window)).alias("words"))
+    owners = _cut(benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), alnum_words(F.col("text")).alias("w")), window)
     owners = owners.join(windows, "words").select("item", "window_id").distinct()
     items = found.select("key", "window_id").distinct().join(owners, "window_id").select("key", "item").distinct()
     items = items.groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return hit.join(items, "key", "left")
+    return rows, materialise(hit.join(items, "key", "left"), "bench-texts")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The columns of docs with n_words, n_hit, items and contaminated (struct column `found`)."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    hits = materialise(contaminated_texts(docs.select("text", text_key(F.col("text")).alias("key")), benchmark, window, block), "bench-texts")
-    text = F.col("text")
-    n_words = F.coalesce(F.regexp_count(lowered(text), F.lit(ALNUM)), F.lit(0)).cast("long")
-    rows = docs.select(row, text_key(text).alias("key"), n_words.alias("n_words")).join(hits, "key", "left")
+def _judged(rows: DataFrame, hits: DataFrame) -> DataFrame:
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.select(
-        "row",
-        F.struct(
-            "n_words",
-            n_hit.alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-            ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
-        ).alias("found"),
-    )
+    out = rows.join(hits, "key", "left").withColumn("n_hit", n_hit).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """A row for each document: doc_id, key (of its text), n_words, n_hit, items, contaminated."""
+    return _judged(*contaminated_texts(docs.select("doc_id", "text"), benchmark.select("item_id", "text"), window, block))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """docs without the contaminated ones. Verdicts depend on the text alone, so texts are dropped by key."""
+    bad = decontaminate(docs, benchmark, window, block).where("contaminated").select(F.col("key").alias("__bad")).distinct()
+    return docs.join(bad, text_key(F.col("text")) == F.col("__bad"), "left_anti")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return out.select(
-        "row.doc_id",
-        "found.n_words",
-        "found.n_hit",
-        F.size("found.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
-        "found.contaminated",
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
     )
 
 
