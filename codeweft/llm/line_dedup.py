@@ -36,20 +36,23 @@ def _fingerprints(lines: Column) -> Column:
     n = F.size(lines)
     h = lambda i: F.get(lines, i)["h"]
     w = lambda i: F.get(lines, i)["w"]
-    grams = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.xxhash64(h(i), h(i + 1)).alias("g"), i.alias("at"), F.greatest(w(i), w(i + 1)).alias("w"))))
-
-    def least(x: Column, i: Column) -> Column:
-        out = F.lit(False)
-        for begin in range(1 - WINDOW, 1):  # the windows that hold gram i, where they are complete
-            inside = [F.get(grams, i + begin + j)["g"] for j in range(WINDOW)]
-            lower = F.lit(True)
-            for other in inside:
-                lower = lower & (x["g"] <= other)
-            out = out | ((i + begin >= 0) & F.coalesce(lower, F.lit(False)))
-        return out
-
-    picked = F.filter(grams, lambda x, i: (x["w"] >= LONG) | least(x, i))
-    picked = F.transform(picked, lambda x: F.struct(x["g"].alias("g"), x["at"].alias("at")))
+    every = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.xxhash64(h(i), h(i + 1)).alias("g"), i.alias("at"), F.greatest(w(i), w(i + 1)).alias("w")))
+
+    def select(grams: Column) -> Column:
+        def least(x: Column, i: Column) -> Column:
+            out = F.lit(False)
+            for begin in range(1 - WINDOW, 1):  # the windows that hold gram i, where they are complete
+                lower = F.lit(True)
+                for j in range(WINDOW):
+                    lower = lower & (x["g"] <= F.get(grams, i + begin + j)["g"])
+                out = out | ((i + begin >= 0) & F.coalesce(lower, F.lit(False)))
+            return out
+
+        picked = F.filter(grams, lambda x, i: (x["w"] >= LONG) | least(x, i))
+        return F.transform(picked, lambda x: F.struct(x["g"].alias("g"), x["at"].alias("at")))
+
+    # through a one-element array, so that the grams are computed once and not for each element
+    picked = F.when(n >= 2, F.get(F.transform(F.array(every), select), F.lit(0)))
     alone = F.filter(F.transform(lines, lambda s, i: F.struct(s["h"].alias("g"), i.alias("at"), s["w"].alias("w"))), lambda s: s["w"] >= MIN_WORDS)
     alone = F.transform(alone, lambda s: F.struct(s["g"].alias("g"), s["at"].alias("at")))
     return F.concat(F.coalesce(picked, F.expr("cast(array() as array<struct<g:bigint,at:int>>)")), alone)
