@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from codeweft.functions import vocab as V
 
 
+def bound(c: Column, f) -> Column:
+    """f of a value that is computed once: in a higher-order function an expression would be evaluated per element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -165,10 +170,14 @@ def node_text(*parts: Column) -> Column:
 
 def shingles(c: Column, k: int = 4) -> Column:
     """Distinct k-grams of identifiers and single signs; fewer tokens make one, none makes none."""
-    t = F.regexp_extract_all(text(c), F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[^\sA-Za-z0-9_])"), F.lit(1))
-    n = F.size(t)
-    grams = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(t, i + 1, F.lit(k)), " "))
-    return F.when(n >= k, F.array_distinct(grams)).when(n > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+    tokens = F.regexp_extract_all(text(c), F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[^\sA-Za-z0-9_])"), F.lit(1))
+
+    def grams(t: Column) -> Column:
+        n = F.size(t)
+        every = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.array_join(F.slice(t, i + 1, F.lit(k)), " "))
+        return F.when(n >= k, F.array_distinct(every)).when(n > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
