@@ -222,7 +222,7 @@ def _fused(rankings: str) -> str:
 SELECT id, label, file_type, source_file, round(sum(part) * CASE WHEN {_TEST} THEN 0.5 ELSE 1.0 END, 6) AS score FROM parts JOIN kept USING (id) GROUP BY id, label, file_type, source_file ORDER BY score DESC, id LIMIT 8"""
 
 
-_PAIRS = f"""{_KNN.format(q="(SELECT v.* FROM vecs v JOIN scan USING (id))")}, scan AS (SELECT * FROM frag WHERE {_CODE} AND {_SYMBOL} AND NOT {_GENERIC} AND lower({_BARE}) NOT IN {_in(V.FRAMEWORK)} AND NOT fragment),
+_PAIRS = f""", scan AS (SELECT * FROM frag WHERE {_CODE} AND {_SYMBOL} AND NOT {_GENERIC} AND lower({_BARE}) NOT IN {_in(V.FRAMEWORK)} AND NOT fragment){_KNN.format(q="(SELECT v.* FROM vecs v JOIN scan USING (id))")},
 keyed AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(dist) AS dist FROM near WHERE rank <= 4 AND dist <= 0.65 GROUP BY 1, 2),
 toks AS (SELECT id, {_SH} AS s FROM (SELECT id, {_TOKENS} AS t FROM texts)),
 named AS (SELECT *, {_BARE} AS bare FROM scan),
