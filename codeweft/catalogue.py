@@ -224,13 +224,13 @@ SELECT id, label, file_type, source_file, round(sum(part) * CASE WHEN {_TEST} TH
 
 _PAIRS = f""", scan AS (SELECT * FROM frag WHERE {_CODE} AND {_SYMBOL} AND NOT {_GENERIC} AND lower({_BARE}) NOT IN {_in(V.FRAMEWORK)} AND NOT fragment){_KNN.format(q="(SELECT v.* FROM vecs v JOIN scan USING (id))")},
 keyed AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(dist) AS dist FROM near WHERE rank <= 4 AND dist <= 0.65 GROUP BY 1, 2),
-toks AS (SELECT id, {_SH} AS s FROM (SELECT id, {_TOKENS} AS t FROM texts)),
+toks AS (SELECT id, {_SH} AS s FROM (SELECT id, {_TOKENS} AS t FROM texts WHERE id IN (SELECT a FROM keyed UNION SELECT b FROM keyed))),
 named AS (SELECT *, {_BARE} AS bare FROM scan),
 pairs AS (SELECT k.a, k.b, k.dist, round(CASE WHEN len(ta.s) = 0 OR len(tb.s) = 0 THEN 0 ELSE len(list_intersect(ta.s, tb.s)) / len(list_distinct(list_concat(ta.s, tb.s))) END, 6) AS jaccard
  FROM keyed k JOIN named x ON k.a = x.id JOIN named y ON k.b = y.id JOIN toks ta ON ta.id = k.a JOIN toks tb ON tb.id = k.b
  WHERE NOT (x.source_file <> '' AND x.source_file = y.source_file)
- AND NOT (x.bare <> y.bare AND ((length(x.bare) >= length(y.bare) AND x.bare IN (SELECT concat(y.bare, f) FROM (SELECT unnest({list(V.FAMILY)}) AS f))) OR (length(x.bare) < length(y.bare) AND y.bare IN (SELECT concat(x.bare, f) FROM (SELECT unnest({list(V.FAMILY)}) AS f)))))
- AND NOT EXISTS (SELECT 1 FROM edges e WHERE (e.src = k.a AND e.dst = k.b) OR (e.src = k.b AND e.dst = k.a)))"""
+ AND NOT ({" OR ".join(f"x.bare = concat(y.bare, '{f}') OR y.bare = concat(x.bare, '{f}')" for f in V.FAMILY)})
+ AND (k.a, k.b) NOT IN (SELECT (least(src, dst), greatest(src, dst)) FROM edges))"""
 _FILES = """, files AS (SELECT DISTINCT concat('f', md5(source_file)) AS id, regexp_extract(source_file, '([^/]*)$', 1) AS label, source_file FROM nodes WHERE source_file <> ''),
 allnodes AS (SELECT id, label, source_file FROM nodes UNION ALL SELECT * FROM files),
 filenode AS (SELECT source_file, min(id) AS file_id FROM allnodes WHERE source_file <> '' AND label = regexp_extract(source_file, '([^/]*)$', 1) GROUP BY 1), offile AS (SELECT n.id, file_id FROM allnodes n JOIN filenode USING (source_file))"""
