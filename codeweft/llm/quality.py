@@ -52,7 +52,7 @@ def count_chunk(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         _, inverse, number = np.unique(three[whole], return_inverse=True, return_counts=True)
         at = whole[number[inverse] > 1]
         np.add.at(repeated, at, 1)
-        np.add.at(repeated, at + 3, -1) if len(at) == 0 or at[-1] + 3 <= len(h) else None
+        np.add.at(repeated, at + 3, -1)
     out["n_repeat_words"] = per_row(np.cumsum(repeated[:-1]) > 0, first)
     distinct = np.unique(h ^ salt[row]) if len(h) else h
     # lines with a word, equal to an earlier line
@@ -60,8 +60,9 @@ def count_chunk(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     cut = cut[np.searchsorted(cut, offsets[0]) :]
     begin = np.unique(np.r_[offsets[:-1][np.diff(offsets) > 0], cut + 1])
     begin = begin[begin < len(data)]
-    end = np.r_[begin[1:], len(data)].astype(np.int64)
-    end = np.where((end > begin) & (data[np.maximum(end - 1, 0)] == 10), end - 1, end)
+    end = np.r_[begin[1:], len(data)].astype(np.int64)[: len(begin)]
+    if len(begin):
+        end = np.where((end > begin) & (data[np.maximum(end - 1, 0)] == 10), end - 1, end)
     has = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end = begin[has], end[has]
     line_row = np.searchsorted(offsets, begin, "right") - 1
