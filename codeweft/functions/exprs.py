@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from codeweft.functions import vocab as V
 
 
+SPACE = " \t\n\r\f\v"
+
+
 def bound(c: Column, f) -> Column:
     """f of a value that is computed once: in a higher-order function an expression would be evaluated per element."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -160,7 +163,7 @@ def snippet(lines: Column, location: Column, window: int = 12, most: int = 500)
     at = line_numbers(location)
     begin = F.greatest(at["start"] - 1, F.lit(0))
     end = F.greatest(F.least(F.size(lines), F.coalesce(at["end"], begin + window)), begin + 1)
-    return F.when(at["start"].isNull() | (begin >= F.size(lines)), "").otherwise(F.substring(F.trim(F.array_join(F.slice(lines, begin + 1, end - begin), "\n")), 1, most))
+    return F.when(at["start"].isNull() | (begin >= F.size(lines)), "").otherwise(F.substring(F.btrim(F.array_join(F.slice(lines, begin + 1, end - begin), "\n"), F.lit(SPACE)), 1, most))
 
 
 def node_text(*parts: Column) -> Column:
@@ -193,3 +196,86 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def lexical_tokens(c: Column) -> Column:
     """Distinct lower-cased words of three letters or more."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text(c)), F.lit(r"((?U)\w+)"), F.lit(1)), lambda w: F.length(w) >= 3))
+
+
+# Text around a declaration. lines: array of a file's lines; null where the file can't be read ----------------------
+
+
+def split_lines(c: Column) -> Column:
+    """Lines of a text; an ending break makes no further line."""
+    parts = F.split(c, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]")
+    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+
+
+# fixed values
+_COMMENT = r"^(//|/\*|\*|#)"
+_MARKERS = r"^\s*(///?|/\*\*?|\*/?|#)+|\*/\s*$"
+_ATTRIBUTES = ("placeholder", "title", "label", "aria-label", "alt", "tooltip", "heading", "header", "caption", "subtitle", "description")
+_CODE_WORDS = ("import", "export", "const", "return", "function")
+_CODE_SIGNS = r"[=;(){}\[\]<>]|&&|\|\|"
+
+
+def leading_comment(lines: Column, location: Column, scan: int = 15, most: int = 300) -> Column:
+    """The comment above a declaration: of the lines above it up to the first of code, those that are comments, without
+    markers, tags and rules. Blank lines, attributes and decorators may stand between."""
+    start = line_numbers(location)["start"]
+
+    def told(start: Column) -> Column:
+        from_ = F.greatest(start - 1 - scan, F.lit(0))
+        above = F.transform(F.reverse(F.slice(lines, from_ + 1, F.greatest(F.least(start - 1, F.size(lines)) - from_, F.lit(0)))), lambda s: F.btrim(s, F.lit(SPACE)))
+        comment = lambda s: ~s.rlike(r"^[\[@]") & (s.rlike(_COMMENT) | s.endswith("*/"))
+        passed = lambda s: (s == "") | s.rlike(r"^[\[@]") | s.isin("]", ")", "{") | comment(s)
+        stop = lambda a: F.array_position(F.transform(a, lambda s: ~passed(s)), True)
+        block = bound(above, lambda a: F.when(stop(a) > 0, F.slice(a, 1, F.greatest(stop(a).cast("int") - 1, F.lit(0)))).otherwise(a))
+        plain = lambda s: F.regexp_replace(F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _MARKERS, ""), r"</?[a-zA-Z][^>]*>", " "), r"\s+", " ")), r"^[\-=*_~\s]+|[\-=*_~\s]+$", "")
+        return F.substring(F.array_join(F.filter(F.transform(F.reverse(F.filter(block, comment)), plain), lambda s: F.length(s) >= 3), " "), 1, most)
+
+    known = start.isNotNull() & lines.isNotNull() & (start <= F.size(lines) + 1)
+    return F.when(known, bound(start, told)).otherwise("")
+
+
+def _is_copy(s: Column) -> Column:
+    """A literal that reads like words on a screen, not like a class, path, key or name."""
+    spaced = s.contains(" ")
+    css = F.forall(F.split(s, r"\s+"), lambda t: t.rlike(r"^[!a-z0-9][a-z0-9:.\-/!]*$"))
+    return F.length(s).between(3, 60) & s.rlike(r"\p{L}") & ~s.rlike(r"^[.@#$%&]") & ~s.rlike(r"[/\\_]") & ~s.rlike(_CODE_SIGNS) & ~css & (spaced | ~s.rlike(r"[.:]|^[A-Za-z][A-Za-z0-9]*$"))
+
+
+def _is_markup_text(s: Column) -> Column:
+    name = ~s.rlike("[А-Яа-яЁё]") & s.rlike(r"[a-z][A-Z]|[A-Z]{3,}")
+    return F.length(s).between(2, 60) & s.rlike(r"\p{L}") & ~s.rlike(_CODE_SIGNS) & ~F.substring_index(s, " ", 1).isin(*_CODE_WORDS) & (s.contains(" ") | ~(s.rlike(r"[.:_/]") | name))
+
+
+def ui_text(path: Column, lines: Column, location: Column, span: int = 80, most: int = 240) -> Column:
+    """What a frontend declaration shows on screen: texts between tags, some attributes, literals; each once in any case.
+    Texts are added while fewer than `most` characters were."""
+    at = line_numbers(location)
+    begin = F.greatest(at["start"] - 1, F.lit(0))
+    end = F.least(F.size(lines), F.coalesce(at["end"], at["start"] + span))
+    body = F.array_join(F.slice(lines, begin + 1, F.greatest(end - begin, F.lit(0))), "\n")
+
+    def shown(body: Column) -> Column:
+        found = lambda pattern: F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda s: F.btrim(s, F.lit(SPACE)))
+        markup = F.filter(found(r">\s*([^<>{}\n][^<>{}\n]*?)\s*<"), _is_markup_text)
+        attributes = found(r"(?i)\b(?:" + "|".join(_ATTRIBUTES) + r""")\s*=\s*["']([^"'\n{}]{2,60})["']""")
+        literals = F.filter(found(r"""["']([^"'\n]{3,60})["']"""), _is_copy)
+        empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("total"))
+
+        def add(state: Column, s: Column) -> Column:
+            new = (s != "") & (state["total"] < most) & ~F.array_contains(state["seen"], F.lower(s))
+            return F.when(new, F.struct(F.array_append(state["out"], s).alias("out"), F.array_append(state["seen"], F.lower(s)).alias("seen"), (state["total"] + F.length(s)).alias("total"))).otherwise(state)
+
+        return F.aggregate(F.concat(markup, attributes, literals), empty, add, lambda state: F.array_join(state["out"], " | "))
+
+    wanted = F.coalesce(layer_of(path) == "frontend", F.lit(False)) & ~is_test_path(path) & at["start"].isNotNull() & lines.isNotNull()
+    return F.when(wanted, bound(body, shown)).otherwise("")
+
+
+def entity_text(label: Column, path: Column, location: Column, lines: Column, file_type: Column, community: Column | None = None) -> Column:
+    """What is indexed for an entity: name, body, comment, screen texts, path, community, type. The text to embed leaves
+    the community out, so that the cache's keys outlast a new clustering."""
+    known = text(path) != ""
+    body = F.when(known & lines.isNotNull() & (F.size(lines) > 0), snippet(lines, location)).otherwise("")
+    comment = F.when(known, leading_comment(lines, location)).otherwise("")
+    parts = [label, body, comment, ui_text(path, lines, location), F.translate(text(path), "/.", "  ")]
+    return strip_control(node_text(*parts, *([community] if community is not None else []), file_type))

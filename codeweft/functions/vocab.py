@@ -14,6 +14,7 @@ DEPENDENCY = ("calls", "references", "imports", "imports_from", "implements", "i
 CONTAINMENT = ("contains", "method", "defines")
 FLOW = ("calls", "method", "contains")
 SOFT = ("conceptually_related_to", "semantically_similar_to", "shares_data_with", "rationale_for")
+ROUTING = ("impl_of", "handles", "handled_by")
 REF_ONLY = ("references", "imports", "imports_from")
 FRONT_EXT = ("tsx", "jsx", "ts", "js", "mjs", "cjs", "vue", "svelte", "css", "scss", "sass", "less", "html")
 BACK_EXT = ("cs", "py", "go", "java", "kt", "rb", "php", "rs", "scala", "ex", "exs", "c", "cc", "cpp", "h", "hpp", "swift")

@@ -131,9 +131,10 @@ def convention_links(nodes: DataFrame, edges: DataFrame | None = None, canonical
     return x.withColumn("r", F.row_number().over(first)).where("r = 1").select("src_id", F.col("c.relation").alias("relation"), "id")
 
 
-def bfs(edges: DataFrame, starts: DataFrame, direction: str, relations=(), max_hops: int = 2, node_cap: int | None = None) -> DataFrame:
+def bfs(edges: DataFrame, starts: DataFrame, direction: str, relations=(), max_hops: int = 2, node_cap: int | None = None, until: DataFrame | None = None) -> DataFrame:
     """Layered search from starts (id): hop, parent, relation, id, direction; in arrivals before out, then by parent and
-    relation. node_cap keeps the first nodes of that order and adds truncated."""
+    relation. node_cap keeps the first nodes of that order and adds truncated. until: ids; the first layer that holds one
+    is the last."""
     both = both_ways(edges)
     both = both.where(F.col("relation").isin(*relations)) if relations else both
     both = both.where(F.col("direction") == direction) if direction != "both" else both
@@ -146,6 +147,8 @@ def bfs(edges: DataFrame, starts: DataFrame, direction: str, relations=(), max_h
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
+        if until is not None and not fresh.join(until.select("id"), "id", "left_semi").isEmpty():
+            break
     out = seen.where("hop > 0")
     if node_cap is None:
         return out
@@ -158,14 +161,17 @@ def shortest_path(edges: DataFrame, a: DataFrame, b: DataFrame, max_hops: int =
     nodes and relations in order, reversed if it runs from b to a."""
     out = None
     for back, (s, t) in enumerate(((a, b), (b, a))):
-        tree = bfs(edges, s, "out", (), max_hops)
+        if out is not None:  # the way back has to be shorter
+            forth = out.first()
+            max_hops = forth.hop - 1 if forth else max_hops
+        tree = bfs(edges, s, "out", (), max_hops, until=t)
         ends = tree.join(t.select("id"), "id", "left_semi").orderBy("hop", "id").limit(1)
         walk = ends.select("hop", F.col("id").alias("at"), F.array("id").alias("nodes"), F.array().cast("array<string>").alias("relations"))
         up = tree.select(F.col("id").alias("at"), "parent", "relation")
         for _ in range(max_hops):
             walk = walk.join(up, "at", "left").select("hop", F.col("parent").alias("at"), F.when(F.col("parent").isNull(), F.col("nodes")).otherwise(F.concat(F.array("parent"), "nodes")).alias("nodes"), F.when(F.col("parent").isNull(), F.col("relations")).otherwise(F.concat(F.array("relation"), "relations")).alias("relations"))
         walk = walk.select("hop", "nodes", "relations", F.lit(bool(back)).alias("reversed"))
-        out = walk if out is None else out.unionByName(walk)
+        out = cut(walk) if out is None else out.unionByName(walk)
     return out.orderBy("hop", "reversed").limit(1)
 
 
