@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeweft.functions import exprs as E
 from codeweft.functions import vocab as V
-from codeweft.operators import dupes, graph, search
+from codeweft.operators import dupes, graph, routes, search
 
 NODES = """SELECT concat('n', CAST(k AS STRING)) AS id,
  CASE r WHEN 0 THEN concat('Svc',s,'Command') WHEN 1 THEN concat('Svc',s,'CommandHandler') WHEN 2 THEN concat('Svc',s,'CommandHandlerTests')
@@ -90,6 +90,23 @@ def _path_len(s, d):
     return graph.shortest_path(e, _seed(s, d), far, 6).select(F.col("hop").cast("long").alias("hops"), "reversed")
 
 
+def _route(maker):
+    """From the busiest node to the first node of a name."""
+
+    def run(s, d):
+        n, e = graph.cut(nodes(s, d)), graph.cut(edges(s, d))
+        a = n.join(_seed(s, d), "id").first()
+        return maker(n, e, a, n.where("label = 'ISvc3Repository'").orderBy("id").first()).select(F.concat_ws(" > ", "labels").alias("labels"), F.size("steps").cast("long").alias("hops"))
+
+    return run
+
+
+def _lines(s, d):
+    c = F.col
+    x = _read(s, d, "documents").select("doc_id", E.split_lines(c("text")).alias("lines"))
+    return x.select("doc_id", F.size("lines").cast("long").alias("n"), E.snippet(c("lines"), F.lit("L1-L2")).alias("snippet"), E.leading_comment(c("lines"), F.lit("L3")).alias("comment"), E.ui_text(F.lit("web/View.tsx"), c("lines"), F.lit("L1")).alias("ui"))
+
+
 def _dupe_pairs(s, d):
     return dupes.pairs(with_text(s, d), edges(s, d), vectors(s, d), kind="code", threshold=0.65)
 
@@ -142,6 +159,11 @@ def queries() -> dict:
         "convention_links": lambda s, d: graph.convention_links(nodes(s, d)),
         "convention_canonical": lambda s, d: graph.convention_links(nodes(s, d), edges(s, d), canonical=True),
         "shortest_path_len": _path_len,
+        "bridged_route": _route(routes.bridged),
+        "composed_route": _route(routes.composed),
+        "logical_neighbours": lambda s, d: routes.logical_links(nodes(s, d), edges(s, d), 1 << 30).where("not bridge").select("label", "relation", "neighbour"),
+        "source_lines": _lines,
+        "degree_stats": lambda s, d: graph.both_ways(edges(s, d)).groupBy(F.col("a").alias("id")).agg(F.count_if(F.col("direction") == "out").alias("outgoing"), F.count_if(F.col("direction") == "in").alias("incoming")),
         "components": lambda s, d: graph.components(edges(s, d).where("relation = 'calls'").select(F.col("src").alias("a"), F.col("dst").alias("b"))),
         "knn_query": lambda s, d: search.knn(vectors(s, d), _query_vector(s, d), 10),
         "knn_self_top4": lambda s, d: search.knn_join(vectors(s, d), vectors(s, d), 4).select("a", "b", "dist"),
@@ -258,6 +280,8 @@ def oracle_sql() -> dict:
         "convention_links": f"{_CONV} SELECT src_id, relation, id FROM linked QUALIFY row_number() OVER (PARTITION BY src_id, id ORDER BY k) = 1",
         "convention_canonical": f"{_CONV}, kept AS (SELECT *, bool_and(fragment) OVER (PARTITION BY src_id, target) AS alone FROM linked) SELECT src_id, relation, id FROM kept WHERE alone OR NOT fragment QUALIFY row_number() OVER (PARTITION BY src_id, id ORDER BY k) = 1",
         "shortest_path_len": f"{_walk('out', (), 4)} SELECT max(hop) AS hops, false AS reversed FROM reach",
+        "logical_neighbours": f", x AS (SELECT DISTINCT m.label AS at, w.relation, n.* FROM both_ways w JOIN nodes m ON w.a = m.id JOIN nodes n ON w.b = n.id WHERE m.label <> n.label) SELECT DISTINCT at AS label, relation, label AS neighbour FROM x WHERE relation NOT IN {_in(V.SOFT)} AND NOT {_GENERIC}",
+        "degree_stats": "SELECT a AS id, count(*) FILTER (direction = 'out') AS outgoing, count(*) FILTER (direction = 'in') AS incoming FROM both_ways GROUP BY a",
         "components": ", c AS (SELECT a, b FROM both_ways WHERE relation = 'calls'), r AS (SELECT a AS id, a AS o FROM c UNION SELECT c.b, o FROM r JOIN c ON c.a = r.id) SELECT id, min(o) AS component FROM r GROUP BY id",
         "knn_query": f"{_VEC.format(n=10)} SELECT * FROM vec",
         "knn_self_top4": f"{_KNN.format(q='vecs')} SELECT a, b, dist FROM near WHERE rank <= 4",

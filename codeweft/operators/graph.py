@@ -183,10 +183,16 @@ def tests_for(nodes: DataFrame, edges: DataFrame, ids: DataFrame, max_hops: int
 
 def impact(nodes: DataFrame, edges: DataFrame, ids: DataFrame, max_hops: int = 2) -> DataFrame:
     """What depends on the ids, by category: number and first ten labels."""
-    x = bfs(edges, ids, "in", V.DEPENDENCY, max_hops).join(nodes, "id")
-    x = x.withColumn("category", E.impact_category(F.col("label"), F.col("source_file"), F.col("file_type")))
-    first = F.slice(F.array_sort(F.collect_list(F.struct("hop", "id", "label"))), 1, 10)
-    return x.groupBy("category").agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda s: s["label"]), ",").alias("labels"))
+    return by_category(bfs(edges, ids, "in", V.DEPENDENCY, max_hops).join(nodes, "id"))
+
+
+def by_category(reached: DataFrame) -> DataFrame:
+    """category, n, labels of the first ten. Rows are ranked before they are gathered, so a group stays small."""
+    x = reached.withColumn("category", E.impact_category(F.col("label"), F.col("source_file"), F.col("file_type")))
+    total = x.groupBy("category").agg(F.count("*").alias("n"))
+    first = x.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("hop", "id"))).where("r <= 10")
+    named = first.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda s: s["label"]), ",").alias("labels"))
+    return total.join(named, "category")
 
 
 def trace(edges: DataFrame, ids: DataFrame, max_hops: int = 4, with_references: bool = False) -> DataFrame:
