@@ -280,7 +280,7 @@ def oracle_sql() -> dict:
         "convention_links": f"{_CONV} SELECT src_id, relation, id FROM linked QUALIFY row_number() OVER (PARTITION BY src_id, id ORDER BY k) = 1",
         "convention_canonical": f"{_CONV}, kept AS (SELECT *, bool_and(fragment) OVER (PARTITION BY src_id, target) AS alone FROM linked) SELECT src_id, relation, id FROM kept WHERE alone OR NOT fragment QUALIFY row_number() OVER (PARTITION BY src_id, id ORDER BY k) = 1",
         "shortest_path_len": f"{_walk('out', (), 4)} SELECT max(hop) AS hops, false AS reversed FROM reach",
-        "logical_neighbours": f", x AS (SELECT DISTINCT m.label AS at, w.relation, n.* FROM both_ways w JOIN nodes m ON w.a = m.id JOIN nodes n ON w.b = n.id WHERE m.label <> n.label) SELECT DISTINCT at AS label, relation, label AS neighbour FROM x WHERE relation NOT IN {_in(V.SOFT)} AND NOT {_GENERIC}",
+        "logical_neighbours": f", x AS (SELECT DISTINCT m.label AS own, w.relation, n.* FROM both_ways w JOIN nodes m ON w.a = m.id JOIN nodes n ON w.b = n.id WHERE m.label <> n.label) SELECT DISTINCT own AS label, relation, label AS neighbour FROM x WHERE relation NOT IN {_in(V.SOFT)} AND NOT {_GENERIC}",
         "degree_stats": "SELECT a AS id, count(*) FILTER (direction = 'out') AS outgoing, count(*) FILTER (direction = 'in') AS incoming FROM both_ways GROUP BY a",
         "components": ", c AS (SELECT a, b FROM both_ways WHERE relation = 'calls'), r AS (SELECT a AS id, a AS o FROM c UNION SELECT c.b, o FROM r JOIN c ON c.a = r.id) SELECT id, min(o) AS component FROM r GROUP BY id",
         "knn_query": f"{_VEC.format(n=10)} SELECT * FROM vec",
