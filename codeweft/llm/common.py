@@ -203,12 +203,18 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np
 def labelled_sample(docs: DataFrame, label: str, per_class: int, seed: str) -> DataFrame:
     """At most per_class rows of each label, those of least seeded hash, with the label's number of rows (`of`).
 
-    Spark limits each map task to per_class rows of a label before the shuffle, so a frequent label is no hot key."""
+    Counts by the hash's first 16 bits, 65536 a label at most, tell where each label's sample ends; only rows up to
+    there are ranked: per_class and those of one value, however frequent the label and however many the map tasks."""
     order = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))))
     ids = docs.select(F.col("doc_id").alias("id"), F.col(label).alias("y"), order.alias("o")).where("y is not null")
+    ids = ids.withColumn("head", F.conv(F.substring("o", 1, 4), 16, 10).cast("int"))
+    counts = ids.groupBy("y", "head").agg(F.count("*").alias("n"))
+    label_rows = Window.partitionBy("y")
+    counts = counts.withColumn("before", F.sum("n").over(label_rows.orderBy("head")) - F.col("n")).withColumn("of", F.sum("n").over(label_rows))
+    ends = counts.where(F.col("before") < per_class).groupBy("y").agg(F.max("head").alias("end"), F.max("of").alias("of"))
+    near = ids.join(F.broadcast(ends), "y").where(F.col("head") <= F.col("end"))
     rank = F.row_number().over(Window.partitionBy("y").orderBy("o", "id"))
-    picked = ids.withColumn("r", rank).where(F.col("r") <= per_class).select("id", "y")
-    return picked.join(F.broadcast(ids.groupBy("y").agg(F.count("*").alias("of"))), "y")
+    return near.withColumn("r", rank).where(F.col("r") <= per_class).select("id", "y", "of")
 
 
 def per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
