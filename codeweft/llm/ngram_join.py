@@ -28,7 +28,7 @@ from codeweft.llm.common import chunks, fold, materialise, mix, numbered, prefix
 from codeweft.llm.components import components
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99995, 4
-MEMBERS, HASHES, PACK = 2048, 4_000_000, 1_000_000
+MEMBERS, HASHES, PACK = 1024, 4_000_000, 1_000_000
 SEED = "near-1"
 #: Beyond so many classes in groups, texts are fetched by a shuffle join instead of a broadcast of their keys.
 BROADCAST = 500_000
