@@ -8,8 +8,8 @@ no vocabulary is ever broadcast beyond FREQUENT words.
 The recurrent model knows the MODEL_WORDS most frequent words, the end, and one class of all other words; a word of
 that class gets the model's probability of the class times the word's smoothed share of it by the corpus counts, so
 that scores stay probabilities of whole texts. Training runs where the data lie: each task trains on its texts, and the
-parameters are averaged, by tokens, in a tree of tasks, ROUNDS times. It takes the share FRACTION of the training
-texts, by hash, and about LEAST_TOKENS more: small corpora are used wholly, and training grows with the corpus.
+parameters are averaged, by tokens, in a tree of tasks, ROUNDS times. Each round takes its share of the training
+texts, by hash, and all rounds together take every training text once.
 
 Defined results: null text is empty: its end is its only token. Without training texts every count is 0. Equal texts
 score alike (to rounding). Other columns don't matter.
@@ -28,7 +28,7 @@ from codeweft.llm.gru import Gru
 
 FREQUENT, TOP, SLOTS = 65_000, 16_384, 21
 MODEL_WORDS, HIDDEN = 512, 12
-ROUNDS, FRACTION, LEAST_TOKENS, FAN = 2, 0.1, 1_500_000, 16
+ROUNDS, FAN = 2, 16
 RARE = 65_535
 
 
@@ -139,11 +139,10 @@ def _rare_sums(encoded: DataFrame) -> DataFrame:
     )
 
 
-def _train(encoded: DataFrame, model: Gru, fraction: float) -> Gru:
-    """Rounds of local training and averaging."""
+def _train(encoded: DataFrame, model: Gru) -> Gru:
+    """Rounds of local training and averaging, over disjoint shares that make up all training texts."""
     for r in range(ROUNDS):
-        part = F.pmod(F.xxhash64("row_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        mine = (part >= fraction * r / ROUNDS) & (part < fraction * (r + 1) / ROUNDS)
+        mine = F.pmod(F.xxhash64("row_id"), F.lit(ROUNDS)) == r
         flat, shape = model.flat(), (model.n_words, model.hidden)
 
         def learn(batches, flat=flat, shape=shape):
@@ -209,7 +208,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     inside = int(counts[:n_words].sum())
     other, other_words = tokens - inside - texts, distinct - int((counts[:n_words] > 0).sum()) - (texts > 0)
     model = Gru(n_words, HIDDEN, counts=np.r_[counts[:n_words], texts, other])
-    model = _train(encoded, model, min(1.0, FRACTION + LEAST_TOKENS / max(tokens, 1)))
+    model = _train(encoded, model)
     rows = encoded.select("row_id", "doc_id", "held_out", "n_tokens").join(_scored(encoded, model, counts), "row_id").join(rare, "row_id", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     base = F.col("frequent_log") + rare_log + F.lit(float(np.log10(texts + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))

@@ -199,6 +199,24 @@ def test_lm_base_scores(docs):
     assert lm_score.score_documents(held.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def lm_model(spark):
+    """The model fitted to 300 texts (2.4 million tokens): of 8000 words, a hundredth of which is the text's own."""
+    filler = " ".join(f"f{i}" for i in range(200))
+    texts = [(d, f"{filler} own{d} own{d} " * 38 + " ".join(f"w{(53 * d + i) % 3000}" for i in range(200)), False) for d in range(300)]
+    seen, real = [], lm_score._scored
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm_score, "_scored", lambda encoded, model, counts: seen.append(model) or real(encoded, model, counts))
+        lm_score.score_documents(spark.createDataFrame(texts, "doc_id long, text string, held_out boolean"))
+    return seen[0]
+
+
+def test_lm_trains_on_every_text(lm_model):
+    start = gru.Gru(lm_model.n_words, lm_model.hidden, counts=np.ones(lm_model.n_words + 2)).params["E"]
+    moved = (lm_model.params["E"] != start).any(1)
+    assert lm_model.n_words > 500 and moved[:500].all()  # the fillers and every text's own word
+
+
 def test_language(docs, spark):
     model = language_id.train(docs)
     got = {r.doc_id: r.language for r in language_id.predicted(docs, model).collect()}
