@@ -5,9 +5,10 @@ the rest, written to the shared folder; everything later reads that. Counts cove
 words by bounded tables, rare words by a shuffle on their hashes, in which each occurrence meets its word's count. So
 no vocabulary is ever broadcast beyond FREQUENT words.
 
-The recurrent model knows the MODEL_WORDS most frequent words, the end, and one class of all other words; a word of
-that class gets the model's probability of the class times the word's smoothed share of it by the corpus counts, so
-that scores stay probabilities of whole texts. Training runs where the data lie: each task trains on its texts, and the
+The recurrent model knows the most frequent words, as many as the square root of the training tokens (a corpus' words
+grow about so; MODEL_WORDS at least, FREQUENT at most), the end, and one class of all other words; a word of that class
+gets the model's probability of the class times the word's smoothed share of it by the corpus counts, so that scores
+stay probabilities of whole texts. Training runs where the data lie: each task trains on its texts, and the
 parameters are averaged, by tokens, in a tree of tasks, ROUNDS times. Each round takes its share of the training
 texts, by hash, and all rounds together take every training text once.
 
@@ -167,9 +168,9 @@ def _train(encoded: DataFrame, model: Gru) -> Gru:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "flat"])
 
         got = materialise(encoded.where(~F.col("held_out") & mine).select("ids").mapInArrow(learn, "n double, flat binary"), "lm-params")
-        while (count := got.count()) > FAN:
+        while (count := got.count()) > 1:
             got = materialise(got.repartition(-(-count // FAN)).mapInArrow(average, "n double, flat binary"), "lm-params")
-        rows = got.collect()  # FAN at most
+        rows = got.collect()  # one
         if rows:
             n = sum(x["n"] for x in rows)
             model = model.with_flat(sum(np.frombuffer(x["flat"], np.float32).astype(np.float64) * (x["n"] / n) for x in rows))
@@ -204,7 +205,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     totals = encoded.where("not held_out").agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens")).first()
     texts, tokens = totals["texts"] or 0, int(totals["tokens"] or 0)
     distinct = int((counts > 0).sum()) + (texts > 0) + int(rare.agg(F.sum("rare_words")).first()[0] or 0)
-    n_words = int(min(MODEL_WORDS, len(hashes)))
+    n_words = int(min(max(MODEL_WORDS, tokens**0.5), len(hashes)))
     inside = int(counts[:n_words].sum())
     other, other_words = tokens - inside - texts, distinct - int((counts[:n_words] > 0).sum()) - (texts > 0)
     model = Gru(n_words, HIDDEN, counts=np.r_[counts[:n_words], texts, other])

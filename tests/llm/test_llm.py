@@ -217,6 +217,10 @@ def test_lm_trains_on_every_text(lm_model):
     assert lm_model.n_words > 500 and moved[:500].all()  # the fillers and every text's own word
 
 
+def test_lm_vocabulary_grows_with_the_tokens(lm_model):
+    assert 1400 < lm_model.n_words < 1600  # the root of 2.4 million tokens
+
+
 def test_language(docs, spark):
     model = language_id.train(docs)
     got = {r.doc_id: r.language for r in language_id.predicted(docs, model).collect()}
