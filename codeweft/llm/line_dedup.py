@@ -1,13 +1,12 @@
-"""Line dedup by winnowing over line hashes, in DataFrame operations only.
+"""Line dedup by hashes of every shortest passage of MIN_WORDS words, in DataFrame operations only.
 
-A document is its sequence of trimmed lines that aren't blank, as hashes. Grams are two consecutive lines; of each
-window of WINDOW grams the least hash is a fingerprint, and so is each gram with a line of LONG words and each single
-line of MIN_WORDS words. Hence two documents that share a passage of more than MIN_WORDS words in whole lines share a
-fingerprint if the passage has one long line, two lines, or WINDOW + 1 lines or more.
+A document is its sequence of trimmed lines that aren't blank, as hashes. From each line on, and up to each line, the
+fewest whole lines that hold MIN_WORDS words are a span; equal lines have equal spans, wherever they stand. A span whose
+lines stand at an earlier position too (documents in order of doc_id, then of a hash) is a repeat, and its lines are
+deleted. That is exact: in a run of lines that occurs earlier and has MIN_WORDS words or more, each line lies in a span
+within the run - the one from it on, the one up to it or, if both would leave the run, the one from the run's first line.
 
-Each fingerprint joins its position with its first position (documents in order of doc_id, then of a hash), never with
-all others. The distinct alignments of two documents are extended both ways: the maximal runs of equal lines. A run of
-at least MIN_WORDS words is a repeat, and the lines of the later occurrence are deleted.
+Only the first position of each span is needed, so occurrences are never paired with all others.
 
 Defined results: null or empty text has no lines; rows equal in id and text share their fate (the first of them isn't
 told apart); a null doc_id comes after all others; other columns don't matter. Words of a line: its spaces plus one.
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.common import materialise, row_hash, table
 
-WINDOW, LONG, MIN_WORDS, SEED = 2, 25, 50, "lines-1"
+MIN_WORDS, SEED = 50, "lines-1"
 
 
 def _lines(text: Column) -> Column:
@@ -31,46 +30,41 @@ def _lines(text: Column) -> Column:
     return F.transform(F.filter(trimmed, lambda s: s["x"] != ""), lambda s: F.struct(s["p"].alias("p"), F.xxhash64(s["x"]).alias("h"), words(s["x"]).alias("w")))
 
 
-def _fingerprints(lines: Column) -> Column:
-    """Selected grams and long lines: hash g and position at (index of the first line, from 0)."""
-    n = F.size(lines)
-    h = lambda i: F.get(lines, i)["h"]
-    w = lambda i: F.get(lines, i)["w"]
-    every = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.xxhash64(h(i), h(i + 1)).alias("g"), i.alias("at"), F.greatest(w(i), w(i + 1)).alias("w")))
+def _spans(lines: Column) -> Column:
+    """Shortest spans of MIN_WORDS words from each line on and up to each line: hash g, first line at (from 0) and end.
 
-    def select(grams: Column) -> Column:
-        def least(x: Column, i: Column) -> Column:
-            out = F.lit(False)
-            for begin in range(1 - WINDOW, 1):  # the windows that hold gram i, where they are complete
-                lower = F.lit(True)
-                for j in range(WINDOW):
-                    lower = lower & (x["g"] <= F.get(grams, i + begin + j)["g"])
-                out = out | ((i + begin >= 0) & F.coalesce(lower, F.lit(False)))
-            return out
+    Each line has a word, so a span has MIN_WORDS lines at most: its length is found by halving steps."""
+    hashes, words = F.transform(lines, lambda s: s["h"]), F.transform(lines, lambda s: s["w"].cast("long"))
 
-        picked = F.filter(grams, lambda x, i: (x["w"] >= LONG) | least(x, i))
-        return F.transform(picked, lambda x: F.struct(x["g"].alias("g"), x["at"].alias("at")))
+    def of(h: Column, w: Column) -> Column:
+        n = F.size(h)
 
-    # through a one-element array, so that the grams are computed once and not for each element
-    picked = F.when(n >= 2, F.get(F.transform(F.array(every), select), F.lit(0)))
-    alone = F.filter(F.transform(lines, lambda s, i: F.struct(s["h"].alias("g"), i.alias("at"), s["w"].alias("w"))), lambda s: s["w"] >= MIN_WORDS)
-    alone = F.transform(alone, lambda s: F.struct(s["g"].alias("g"), s["at"].alias("at")))
-    return F.concat(F.coalesce(picked, F.expr("cast(array() as array<struct<g:bigint,at:int>>)")), alone)
+        def along(v: Column, turn) -> Column:
+            total = lambda i, k: F.aggregate(F.slice(v, i + 1, k), F.lit(0).cast("long"), lambda a, x: a + x)
+            out = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("i"), F.lit(0).alias("k"), F.lit(0).cast("long").alias("sum")))
 
+            def longer(step: int):
+                def by(x: Column) -> Column:
+                    more = F.array(x["sum"] + total(x["i"] + x["k"], F.lit(step)))
+                    fits = lambda m: (m < MIN_WORDS) & (x["i"] + x["k"] + step <= n)
+                    return F.get(F.transform(more, lambda m: F.when(fits(m), F.struct(x["i"].alias("i"), (x["k"] + step).alias("k"), m.alias("sum"))).otherwise(x)), F.lit(0))
 
-def _runs() -> Column:
-    """Maximal runs of equal lines along the alignments `deltas` of lines with source: arrays of start and end."""
+                return by
 
-    def along(d: Column) -> Column:
-        low, high = F.greatest(F.lit(0), -d), F.least(F.size("h"), F.size("source") - d) - 1
-        here = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        same = F.filter(here, lambda q: F.get("h", q) == F.get("source", q + d))
-        is_ = lambda q: (q >= low) & (q <= high) & F.coalesce(F.get("h", q) == F.get("source", q + d), F.lit(False))
-        starts, ends = F.filter(same, lambda q: ~is_(q - 1)), F.filter(same, lambda q: ~is_(q + 1))
-        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end")))
+            for bit in reversed(range((MIN_WORDS - 1).bit_length())):
+                out = F.transform(out, longer(1 << bit))
+            whole = F.filter(out, lambda x: x["i"] + x["k"] < n)  # one line more completes the span
+            return F.transform(whole, lambda x: turn(x["i"], x["i"] + x["k"] + 1))
 
-    words = lambda r: F.aggregate(F.slice("w", r["start"] + 1, r["end"] - r["start"]), F.lit(0), lambda a, x: a + x)
-    return F.filter(F.flatten(F.transform("deltas", along)), lambda r: words(r) >= MIN_WORDS)
+        pair = lambda start, end: F.struct(start.alias("at"), end.alias("end"))
+        ends = along(F.reverse(w), lambda i, end: pair(n - end, n - i))
+        places = F.array_distinct(F.concat(along(w, pair), ends))
+        return F.transform(places, lambda s: F.struct(F.xxhash64(F.slice(h, s["at"] + 1, s["end"] - s["at"])).alias("g"), s["at"].alias("at"), s["end"].alias("end")))
+
+    # through a one-element array, so that hashes and words are computed once and not for each element
+    packed = F.transform(F.array(F.struct(hashes.alias("h"), words.alias("w"))), lambda x: of(x["h"], x["w"]))
+    none = F.expr("cast(array() as array<struct<g:bigint,at:int,end:int>>)")
+    return F.when(F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + x) >= MIN_WORDS, F.get(packed, F.lit(0))).otherwise(none)
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,24 +73,18 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = row_hash(F.col("doc_id"), F.col("text"), SEED)
     base = docs.select("doc_id", key.alias("key"), _lines(F.col("text")).alias("lines"))
     part = lambda f: F.transform("lines", lambda s: s[f])
-    base = materialise(base.select("doc_id", "key", part("h").alias("h"), part("w").alias("w"), part("p").alias("p"), _fingerprints(F.col("lines")).alias("prints")), "line-rows")
+    base = materialise(base.select("doc_id", "key", part("h").alias("h"), part("w").alias("w"), part("p").alias("p"), _spans(F.col("lines")).alias("spans")), "line-rows")
     place = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("doc_id"), F.col("key").alias("key"), F.col("f.at").alias("at"))
-    prints = base.select("doc_id", "key", F.explode("prints").alias("f")).select(F.col("f.g").alias("g"), "key", F.col("f.at").alias("at"), place.alias("place"))
-    firsts = prints.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("g", F.col("first.key").alias("of"), F.col("first.at").alias("of_at"))
-    pairs = prints.select("g", "key", "at").join(firsts, "g").where("key <> of or at <> of_at").select("key", "of", (F.col("of_at") - F.col("at")).alias("delta")).distinct()
-    pairs = materialise(pairs.groupBy("key", "of").agg(F.collect_list("delta").alias("deltas")), "line-pairs")
-    one = base.select("key", "h", "w").dropDuplicates(["key"])
-    aligned = pairs.join(one, "key").join(one.select(F.col("key").alias("of"), F.col("h").alias("source")), "of")
-    runs = aligned.select("key", "w", F.explode(_runs()).alias("r")).select("key", "w", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
+    spans = base.select("doc_id", "key", F.explode("spans").alias("f")).select(F.col("f.g").alias("g"), "key", F.col("f.at").alias("at"), F.col("f.end").alias("end"), place.alias("place"))
+    firsts = spans.groupBy("g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").select("g", F.col("first.key").alias("of"), F.col("first.at").alias("of_at"))
+    runs = spans.select("g", "key", "at", "end").join(firsts, "g").where("key <> of or at <> of_at").select("key", F.col("at").alias("start"), "end").distinct()
     w = Window.partitionBy("key").orderBy("start", "end")
     before = F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     merged = runs.withColumn("before", before).withColumn("from", F.greatest("start", "before")).where(F.col("from") < F.col("end"))
-    piece = F.slice("w", F.col("from") + 1, F.col("end") - F.col("from"))
-    deleted = merged.groupBy("key").agg(
-        F.sum(F.col("end") - F.col("from")).alias("n_removed"),
-        F.sum(F.aggregate(piece, F.lit(0).cast("long"), lambda a, x: a + x)).alias("removed_words"),
-        F.array_sort(F.collect_list(F.struct(F.col("from").alias("start"), "end"))).alias("runs"),
-    )
+    gone = merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("from").alias("start"), "end"))).alias("runs"))
+    long_ = lambda f: F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + f(r))
+    words = lambda r: F.aggregate(F.slice("w", r["start"] + 1, r["end"] - r["start"]), F.lit(0).cast("long"), lambda a, x: a + x)
+    deleted = gone.join(base.select("key", "w").dropDuplicates(["key"]), "key").select("key", long_(lambda r: r["end"] - r["start"]).alias("n_removed"), long_(words).alias("removed_words"), "runs")
     return base.select("doc_id", "key", F.size("h").cast("long").alias("n_lines"), "p"), materialise(deleted, "line-deleted")
 
 

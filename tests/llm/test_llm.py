@@ -128,6 +128,32 @@ def test_line_dedup(spark, docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_against_brute_force(spark):
+    """Passages whose first part stands alone earlier (A: L1 L2; B, C: L1 L2 L3), and random lines of 1 to 60 words."""
+    line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(10 * k + j, "\n".join(line(f"{x}{k}_", 20) for x in "abc"[: 2 if j == 0 else 3])) for k in range(20) for j in range(3)]
+    rng = np.random.default_rng(5)
+    pool = [line(f"p{i}_", int(n)) for i, n in enumerate(rng.choice([1, 2, 5, 10, 24, 26, 49, 60], 12))]
+    rows += [(1000 + i, "\n".join(pool[j] for j in rng.integers(0, 12, rng.integers(0, 90)))) for i in range(40)]
+    want, seen = {}, []
+    for d, text in rows:
+        mine, gone = text.split("\n"), set()
+        n = [x.count(" ") + 1 for x in mine]
+        for other in [*seen, mine]:
+            for delta in range(1 - len(mine), len(other)) if other is not mine else range(1 - len(mine), 0):
+                run = []
+                for i in range(max(0, -delta), min(len(mine), len(other) - delta) + 1):
+                    if i < min(len(mine), len(other) - delta) and mine[i] == other[i + delta]:
+                        run.append(i)
+                        continue
+                    gone |= set(run) if sum(n[j] for j in run) >= 50 else set()
+                    run = []
+        seen.append(mine)
+        want[d] = "\n".join(x for i, x in enumerate(mine) if i not in gone)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_license_scan(spark, docs):
     texts = ["Released under the MIT\nLicense.", "GNU Lesser General Public License v3", "SPDX-License-Identifier: Apache-2.0", "All rights reserved. mit license", None, "", "no words of it"]
     rows = [r.scan for r in license_scan.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
