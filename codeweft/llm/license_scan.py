@@ -1,9 +1,10 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 A rule is a license name (a regex over words that begins with the name's keyword) in a template (a regex over the words
-before it): NAMES times TEMPLATES gives hundreds of rules. Rules are gated twice: a text is looked at only if it
-contains a term of GATE (a part of every name but a few initials), and a name's regex runs only where its keyword stands, on the LEFT words before and the RIGHT
-words from there. The regexes see lower-cased words joined by single spaces, so line breaks and punctuation don't matter.
+before it): NAMES times TEMPLATES gives hundreds of rules. IDENTIFIERS are names that count after the templates of
+IDENTIFIED only, since they are common words elsewhere. Rules are gated twice: a text is looked at only if it contains
+a term of GATE (each rule's match has one), and a name's regex runs only where its keyword stands, on the LEFT words
+before and the RIGHT words from there. The regexes see lower-cased words joined by single spaces, so line breaks and punctuation don't matter.
 
 A detection is an interval of words with its rule's priority (1 is best) and confidence. It is suppressed if it lies
 inside the interval of a better priority, or inside a longer one of its own priority; the rest give the labels.
@@ -16,13 +17,14 @@ has no words, no labels ('' and '') and score 0; other columns don't matter.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.llm.common import RAW_ALNUM, alnum_words, table
 
 LEFT, RIGHT = 8, 16
-GATE = ("licen", "copyright", "gpl", "reserved", "domain", "spdx", "redistribut", "proprietary", "cc0", "creative", "odbl", "mpl", "epl", "eupl", "cddl", "wtfpl", "sspl", "lppl", "pddl", "gfdl", "beerware", "apache", "bsd", "cc ", "cc-")
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 _V = "(?: version| v)?"
 _L = "(?: licen[cs]e)"
@@ -69,7 +71,30 @@ TEMPLATES = (
     (3, 0.85, "(?:copy of|see|refer to|permitted by|under)(?: the| a)?"),
     (4, 0.7, ""),
 )
-KEYWORDS = tuple(sorted({k for _, k, _ in NAMES}))
+#: As NAMES, in the templates of IDENTIFIED only.
+IDENTIFIERS = tuple(
+    (label, name.split(" ")[0], name + ("" if name == "mit" else "(?: [0-9]+[a-z]?){0,3}"))
+    for label, name in (
+        ("mit", "mit"), ("mit", "expat"), ("x11", "x11"), ("apache", "apache"), ("bsd", "bsd"), ("isc", "isc"), ("zlib", "zlib"), ("zlib", "zlib acknowledgement"), ("libpng", "libpng"), ("boost", "bsl"), ("artistic", "artistic"),
+        ("postgresql", "postgresql"), ("psf", "python"), ("psf", "psf"), ("ruby", "ruby"), ("php", "php"), ("openssl", "openssl"), ("ofl", "ofl"), ("w3c", "w3c"), ("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("afl", "afl"), ("osl", "osl"),
+        ("upl", "upl"), ("ncsa", "ncsa"), ("curl", "curl"), ("json", "json"), ("busl", "busl"), ("elastic", "elastic"), ("vim", "vim"), ("blueoak", "blueoak"), ("apsl", "apsl"), ("ipl", "ipl"), ("qpl", "qpl"), ("sleepycat", "sleepycat"),
+        ("zpl", "zpl"), ("intel", "intel"), ("cpl", "cpl"), ("cpal", "cpal"), ("edl", "edl"),
+    )
+)
+IDENTIFIED = (TEMPLATES[0], (2, 0.97, "(?:dual )?licen[cs]ed (?:to you )?under(?: the)?(?: terms of)?(?: the)?"))
+KEYWORDS = tuple(sorted({k for _, k, _ in NAMES + IDENTIFIERS}))
+
+
+def _needed(name: str) -> str:
+    """The longest word that each match of a name's regex holds, whole or as the beginning of a word."""
+    rest = name.replace(_L + "?", " ").replace(_L, " licen ")
+    while (less := re.sub(r"\(\?:[^()]*\)\??", " ", rest)) != rest:
+        rest = less
+    return max(re.findall("[a-z0-9]+", rest), key=len)
+
+
+#: IDENTIFIERS need none of their own: their templates hold the word license or licensed.
+GATE = tuple(sorted({"licen", *(_needed(name) for _, _, name in NAMES)}))
 _AROUND = 2 * (LEFT + RIGHT) * len(TEMPLATES) * 4
 
 
@@ -82,7 +107,7 @@ def _named(x: Column) -> Column:
     """The names that match at an anchor: label and the words matched."""
     out = None
     for keyword in KEYWORDS:
-        found = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract(x["right"], f"^(?:{name})(?= |$)", 0).alias("m")) for label, k, name in NAMES if k == keyword])
+        found = F.array(*[F.struct(F.lit(label).alias("label"), F.regexp_extract(x["right"], f"^(?:{name})(?= |$)", 0).alias("m"), F.lit(bare).alias("bare")) for names, bare in ((NAMES, False), (IDENTIFIERS, True)) for label, k, name in names if k == keyword])
         out = F.when(x["w"] == keyword, found) if out is None else out.when(x["w"] == keyword, found)
     return F.filter(out, lambda y: y["m"] != "")
 
@@ -97,7 +122,7 @@ def _detections(words: Column) -> Column:
             x["i"].alias("i"), x["w"].alias("w"), F.array_join(F.slice(words, begin(x) + 1, x["i"] - begin(x)), " ").alias("left"), F.array_join(F.slice(words, x["i"] + 1, F.lit(RIGHT)), " ").alias("right")
         ),
     )
-    named = F.flatten(F.transform(around, lambda x: F.transform(_named(x), lambda y: F.struct(x["i"].alias("i"), x["left"].alias("left"), y["label"].alias("label"), _count(y["m"]).alias("n")))))
+    named = F.flatten(F.transform(around, lambda x: F.transform(_named(x), lambda y: F.struct(x["i"].alias("i"), x["left"].alias("left"), y["label"].alias("label"), _count(y["m"]).alias("n"), y["bare"].alias("bare")))))
 
     def rule(x: Column, priority: int, score: float, before: str) -> Column:
         m = F.regexp_extract(x["left"], f"(?:^| )({before})$", 1) if before else F.lit("")
@@ -106,7 +131,7 @@ def _detections(words: Column) -> Column:
         it = F.struct(start.alias("start"), (-end).alias("minus_end"), F.lit(priority).alias("priority"), x["label"].alias("label"), F.lit(score).alias("score"))
         return F.when(m != "", it) if before else it
 
-    matched = F.flatten(F.transform(named, lambda x: F.array(*[rule(x, *t) for t in TEMPLATES])))
+    matched = F.flatten(F.transform(named, lambda x: F.when(x["bare"], F.array(*[rule(x, *t) for t in IDENTIFIED])).otherwise(F.array(*[rule(x, *t) for t in TEMPLATES]))))
     return F.array_sort(F.array_distinct(F.filter(matched, lambda d: d.isNotNull())))
 
 

@@ -164,6 +164,16 @@ def test_license_scan(spark, docs):
     assert license_scan.scan(docs).count() == 10
 
 
+def test_license_gate_and_identifiers(spark):
+    cases = {"MIT-0": "mit-0", "MIT-style": "mit", "MIT/X11": "mit", "ASL 2.0": "apache", "BSL-1.0": "boost", "CeCILL-B": "cecill", "CC BY-NC 4.0": "cc-by-nc", "Berkeley Software Distribution License": "bsd"}
+    cases |= {f"SPDX-License-Identifier: {x}": x.split("-")[0].lower() for x in ("MIT", "ISC", "Zlib", "Artistic-2.0", "Apache-2.0")}
+    cases |= {"SPDX-License-Identifier: MIT-0": "mit-0", "Licensed under MIT": "mit", "Licensed under the ISC": "isc", "a cat with mit and ruby": None}
+    rows = [r.scan for r in license_scan.scan(spark.createDataFrame([(t,) for t in cases], "text string")).collect()]
+    best = [{d.label for d in r.found or [] if d.priority == min(e.priority for e in r.found)} for r in rows]
+    assert best == [{x} if x else set() for x in cases.values()]
+    assert [r.found[0].priority for t, r in zip(cases, rows) if t.startswith("SPDX")] == [1] * 6
+
+
 def test_quality_counts_and_monotone_trees(docs, labels):
     rows = quality.judged(docs, labels).collect()
     for r in rows:
