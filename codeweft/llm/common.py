@@ -67,6 +67,23 @@ def alnum_words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name of an added column: followed by as many underscores as it takes to differ from df's own columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, so that names made on the way can't clash with them."""
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns])
+
+
+def unpacked(row: str, columns: list[str]) -> list[Column]:
+    return [F.col(f"{row}.`{c}`").alias(c) for c in columns]
+
+
 def lowered(text: Column) -> Column:
     """A-Z only: lower() would change other letters too."""
     return F.translate(text, UPPER, LOWER)
@@ -171,6 +188,50 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+class Slots:
+    """Numbers of known hashes, by tables of slots: those whose slot is taken go to the next, smaller table."""
+
+    def __init__(self, hashes: np.ndarray, bits: int):
+        """hashes: distinct."""
+        self.hashes, self.bits, self.tables = hashes, bits, None
+
+    def __getstate__(self):
+        return {"hashes": self.hashes, "bits": self.bits, "tables": None}
+
+    @staticmethod
+    def _slot(h: np.ndarray, level: int, bits: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((h if not level else mix(h + np.uint64(level))) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _build(self) -> None:
+        self.tables, rest, bits = [], np.arange(len(self.hashes)), self.bits
+        while len(rest):
+            slot = self._slot(self.hashes[rest], len(self.tables), bits)
+            t = np.full(1 << bits, -1, np.int32)
+            t[slot[::-1]] = rest[::-1]
+            self.tables.append((bits, t))
+            rest = rest[t[slot] != rest]
+            bits = max(8, int(len(rest)).bit_length() + 3)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if it isn't known."""
+        if self.tables is None:
+            self._build()
+        out = np.full(len(h), -1, np.int64)
+        rows, part = None, h
+        for level, (bits, t) in enumerate(self.tables):
+            at = t[self._slot(part, level, bits)].astype(np.int64)
+            hit = (at >= 0) & (self.hashes[np.maximum(at, 0)] == part)
+            if rows is None:
+                out[hit] = at[hit]
+            else:
+                out[rows[hit]] = at[hit]
+            left = np.flatnonzero((at >= 0) & ~hit)
+            rows = left if rows is None else rows[left]
+            part = part[left]
+        return out
+
+
 def shingle_hashes(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of k consecutive word hashes within each row; a row of fewer words, but not none, has one of all its words.
     first: each row's first word, one more entry than rows. Returns the hashes and each row's first (one more)."""
