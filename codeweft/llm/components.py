@@ -24,3 +24,15 @@ def components(edges: DataFrame, name: str = "components", most: int = 100) -> D
             return out.select("node", "label")
         labels = out.select("node", "label")
     raise RuntimeError(f"components need more than {most} rounds")
+
+
+def star_components(ties: DataFrame, name: str = "stars") -> DataFrame:
+    """ties: u, v (strings), where v is a centre that u belongs to; each centre belongs to itself. Returns node, centre
+    (its least), label (the least centre of its component) for each u.
+
+    A node stays out of the rounds: its least centre is tied to its other ones, which says as much. What the rounds
+    work on are the distinct ties between centres, few in a group of which most members share theirs."""
+    least = materialise(ties.groupBy("u").agg(F.min("v").alias("centre")), f"{name}-least")
+    between = ties.join(least, "u").where("v <> centre").select(F.col("centre").alias("u"), "v").distinct()
+    labels = components(between, f"{name}-centres").select(F.col("node").alias("centre"), "label")
+    return least.join(labels, "centre", "left").select(F.col("u").alias("node"), "centre", F.coalesce("label", "centre").alias("label"))

@@ -3,13 +3,18 @@
 A document's n-grams are sequences of WORDS lower-cased words (all of a shorter text is one). Documents with equal sets
 form a class (copies), of which one member goes on. Band and row counts are chosen for the target recall: the least
 number of bands that misses a pair at the threshold with a probability below 1 - RECALL. Classes that share a band hash
-are tied to the bucket's least class, never to each other, and the ties' components are the only groups in which links
-can lie. In a group all pairs are verified on full sets, in blocks of at most MEMBERS classes: a task gets one block or
-a pair of blocks, counts intersections by matrix products, and returns for each class the number of documents linked
-and a spanning forest of the links instead of the pairs. Small groups share a task. The forest's components are the
-near-duplicate classes.
+are tied to the bucket's least class (its centre), never to each other, and the ties' components are the only groups in
+which links can lie.
 
-No pairs are ever written, no member is dropped, and a group of any size is dealt over many tasks.
+A group is one block, or, if it holds more than MEMBERS classes or HASHES n-grams, its classes of one least centre are
+dealt to blocks of about that size. Pairs are verified on full sets within each block and between blocks that share a
+bucket: a task counts intersections by matrix products, and returns for each class the number of documents linked and
+the least class that its links lead to instead of the pairs. Small groups share a task. The components of those ties
+are the near-duplicate classes.
+
+No pairs are ever written, no member is dropped, and a group of any size is dealt over many tasks. A set travels once
+for each block that its own block meets: in a group of m different texts that all share buckets that is m / MEMBERS
+times, as each pair has to be looked at.
 
 Defined results: null text or text without words has no n-grams: no links, its own class. class_id is the least doc_id
 of the class (null if all are null); n_links counts the other documents with similarity of at least the threshold,
@@ -24,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import chunks, fold, materialise, mix, numbered, prefix_sums, row_hash, shingle_hashes, span_hash, spans, table
-from codeweft.llm.components import components
+from codeweft.llm.common import chunks, fold, materialise, mix, numbered, packed, prefix_sums, row_hash, shingle_hashes, span_hash, spans, table, unpacked
+from codeweft.llm.components import star_components
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.99995, 4
-MEMBERS, HASHES, PACK = 1024, 4_000_000, 1_000_000
+MEMBERS, HASHES, PACK = 1024, 4_000_000, 250_000
 SEED = "near-1"
-#: Beyond so many classes in groups, texts are fetched by a shuffle join instead of a broadcast of their keys.
+#: Beyond so many meetings of classes with blocks, texts are fetched by a shuffle join instead of a broadcast of their keys.
 BROADCAST = 500_000
 
 
@@ -127,19 +132,18 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a symmetric boolean matrix."""
-    out, open_ = [], np.ones(len(linked), bool)
+def least_linked(linked: np.ndarray) -> np.ndarray:
+    """The least member of each member's component, by a symmetric boolean matrix."""
+    out, open_ = np.arange(len(linked)), np.ones(len(linked), bool)
     for seed in range(len(linked)):
         if not open_[seed]:
             continue
         open_[seed] = False
         queue = [seed]
         while queue:
-            u = queue.pop()
-            new = np.flatnonzero(linked[u] & open_)
+            new = np.flatnonzero(linked[queue.pop()] & open_)
             open_[new] = False
-            out += [(u, int(v)) for v in new]
+            out[new] = seed
             queue += new.tolist()
     return out
 
@@ -148,23 +152,19 @@ def _verify(threshold: float):
     up, down = float(threshold).as_integer_ratio() if threshold != 0.8 else (4, 5)
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, links, peers = [], [], []
-        for _, g in pdf.drop_duplicates(["grp", "set_id"]).groupby("grp"):
+        ids, links, least = [], [], []
+        for (i, j), g in pdf.drop_duplicates(["i", "j", "set_id"]).groupby(["i", "j"]):
             g = g.sort_values("set_id")
-            name, n, copies, sub = (g[c].to_numpy() for c in ("set_id", "n", "copies", "sub"))
+            name, n, copies, block = (g[c].to_numpy() for c in ("set_id", "n", "copies", "block"))
             inter = intersections([np.asarray(s) for s in g["hashes"]])
             linked = down * inter.astype(np.float64) >= up * (n[:, None] + n[None, :] - inter)
             np.fill_diagonal(linked, False)
-            if g["i"].iloc[0] != g["j"].iloc[0]:
-                linked &= sub[:, None] != sub[None, :]
-            ids += list(name)
-            links += list(linked @ copies)
-            peers += [None] * len(name)
-            for u, v in forest(linked):
-                ids.append(name[u])
-                links.append(0)
-                peers.append(name[v])
-        return pd.DataFrame({"set_id": ids, "links": np.array(links, np.int64), "peer": peers})
+            if i != j:
+                linked &= block[:, None] != block[None, :]
+            ids.append(name)
+            links.append(linked @ copies)
+            least.append(name[least_linked(linked)])
+        return pd.DataFrame({"set_id": np.concatenate(ids), "links": np.concatenate(links).astype(np.int64), "least": np.concatenate(least)})
 
     return verify
 
@@ -182,23 +182,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     )
     buckets = classes.select("set_id", F.explode("bands").alias("h"))
     centres = buckets.groupBy("h").agg(F.min("set_id").alias("v"), F.count("*").alias("c")).where("c > 1").select("h", "v")
-    ties = buckets.join(centres, "h").where("set_id <> v").select(F.col("set_id").alias("u"), "v").distinct()
-    groups = components(ties, "near-groups")
+    ties = materialise(buckets.join(centres, "h").select(F.col("set_id").alias("u"), "v").distinct(), "near-ties")
+    groups = star_components(ties, "near-groups")
     members = groups.join(classes.select("set_id", "copies", "n", F.col("least.row_key").alias("key")), F.col("node") == F.col("set_id"))
-    sizes = groups.join(classes.select("set_id", "n"), F.col("node") == F.col("set_id")).groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
-    sizes = sizes.withColumn("subs", F.greatest(F.ceil(F.col("m") / MEMBERS), F.ceil(F.col("s") / HASHES)).cast("int"))
-    members = materialise(members.join(sizes, "label").select("set_id", "key", "copies", "n", F.col("label").alias("grp"), "subs", F.pmod(F.xxhash64("set_id"), F.col("subs")).cast("int").alias("sub")), "near-members")
-    known = members.agg(F.count("*").alias("c"), F.sum(F.when(F.col("subs") == 1, F.col("n"))).alias("s")).first()
+    parts = lambda: F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / HASHES)).cast("int").alias("parts")
+    # a group that fits is one block; else its classes of one least centre are dealt to blocks
+    whole = members.groupBy("label").agg(parts()).select("label", F.when(F.col("parts") == 1, F.col("parts")).alias("single"))
+    split = members.join(whole.where("single is null").select("label"), "label", "left_semi").groupBy("centre").agg(parts())
+    block = F.when(F.col("single") == 1, F.col("label")).otherwise(F.concat_ws(":", "centre", F.pmod(F.xxhash64("set_id"), F.col("parts"))))
+    members = materialise(members.join(whole, "label").join(split, "centre", "left").select("set_id", "key", "copies", "n", block.alias("block"), F.col("single").isNotNull().alias("single")), "near-blocks")
+    # a block meets itself and the blocks it shares a bucket with; groups of one block share tasks
+    at = members.where("not single").select("set_id", "block").join(buckets, "set_id").join(centres.select("h"), "h", "left_semi").select("h", "block").distinct()
+    met = at.select("h", F.col("block").alias("i")).join(at.select("h", F.col("block").alias("j")), "h").where("i <= j").select("i", "j").distinct()
+    meetings = met.select(F.explode(F.array_distinct(F.array("i", "j"))).alias("block"), F.struct("i", "j").alias("pair")).groupBy("block").agg(F.collect_list("pair").alias("pairs"))
+    itself = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
+    members = materialise(members.join(meetings, "block", "left").withColumn("pairs", F.coalesce("pairs", itself)), "near-members")
+    known = members.agg(F.sum(F.size("pairs")).alias("c"), F.sum(F.when(F.col("single"), F.col("n"))).alias("s")).first()
     packs = max(1, int((known["s"] or 0) // PACK) + 1)
-    wanted = F.broadcast(members) if known["c"] <= BROADCAST else members
+    wanted = F.broadcast(members) if (known["c"] or 0) <= BROADCAST else members
     texts = docs.select(row_hash(F.col("doc_id"), F.col("text"), SEED).alias("key"), "text").join(wanted, "key")
-    sets = texts.select("set_id", "copies", "n", "grp", "subs", "sub", _sets_udf(words)("text").alias("hashes"))
-    # a block meets itself and each other block of its group; groups of one block share tasks
-    pairs = F.transform(F.sequence(F.lit(0), F.col("subs") - 1), lambda o: F.struct(F.least(F.col("sub"), o).alias("i"), F.greatest(F.col("sub"), o).alias("j")))
-    dealt = sets.withColumn("p", F.explode(pairs)).select("set_id", "copies", "n", "grp", "sub", "hashes", "p.i", "p.j", F.when(F.col("subs") == 1, F.pmod(F.xxhash64("grp"), F.lit(packs)).cast("string")).otherwise(F.col("grp")).alias("task"))
-    found = materialise(dealt.groupBy("task", "i", "j").applyInPandas(_verify(threshold), "set_id string, links long, peer string"), "near-links")
+    sets = texts.select("set_id", "copies", "n", "block", "single", "pairs", _sets_udf(words)("text").alias("hashes"))
+    task = F.when(F.col("single"), F.pmod(F.xxhash64("block"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("+", "pair.i", "pair.j"))
+    dealt = sets.withColumn("pair", F.explode("pairs")).select("set_id", "copies", "n", "block", "hashes", "pair.i", "pair.j", task.alias("task"))
+    found = materialise(dealt.groupBy("task").applyInPandas(_verify(threshold), "set_id string, links long, least string"), "near-links")
     links = found.groupBy("set_id").agg(F.sum("links").alias("links"))
-    trees = components(found.where("peer is not null").select(F.col("set_id").alias("u"), F.col("peer").alias("v")), "near-classes-of")
+    trees = star_components(found.select(F.col("set_id").alias("u"), F.col("least").alias("v")).distinct(), "near-classes-of")
     joined = classes.select("set_id", "copies", "least").join(links, "set_id", "left").join(trees, F.col("set_id") == F.col("node"), "left")
     joined = materialise(joined.select("set_id", "least", F.coalesce("label", "set_id").alias("label"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "near-linked")
     heads = joined.groupBy("label").agg(F.min("least").alias("head"))
@@ -215,9 +223,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """docs with one document of each class."""
     keep = near_duplicates(docs).where("first").groupBy("row_key").agg(F.max(F.col("n_shingles") == 0).alias("empty"))
-    rows = docs.select(row_hash(F.col("doc_id"), F.col("text"), SEED).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(row_hash(F.col("doc_id"), F.col("text"), SEED).alias("row_key"), packed(docs).alias("row"))
     kept = numbered(rows.join(keep, "row_key"), "row_key", "copy").where("copy = 1 or empty")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return kept.select(*unpacked("row", docs.columns))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
