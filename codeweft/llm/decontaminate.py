@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import alnum_words, materialise, table
+from codeweft.llm.common import alnum_words, materialise, packed, table, unpacked
 
 WINDOW, SHINGLE, BLOCK = 13, 5, 200_000
 WINDOW_MOST = 13
@@ -126,8 +126,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """docs without the contaminated ones. Verdicts depend on the text alone, so texts are dropped by key."""
-    bad = decontaminate(docs, benchmark, window, block).where("contaminated").select(F.col("key").alias("__bad")).distinct()
-    return docs.join(bad, text_key(F.col("text")) == F.col("__bad"), "left_anti")
+    bad = decontaminate(docs, benchmark, window, block).where("contaminated").select("key").distinct()
+    rows = docs.select(text_key(F.col("text")).alias("key"), packed(docs).alias("row"))
+    return rows.join(bad, "key", "left_anti").select(*unpacked("row", docs.columns))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import chunks, fold, labelled_sample, remainder, table
+from codeweft.llm.common import chunks, fold, free_name, labelled_sample, remainder, table
 
 PER_LANGUAGE, SEED = 800, "language-1"
 BITS, GRAMS = 12, (2, 3)
@@ -126,7 +126,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Coder | None:
 
 
 def predicted(docs: DataFrame, model: Coder | None) -> DataFrame:
-    """docs with a struct column `language`: lang, score, ambiguous."""
+    """docs with a struct column `language` (`language_` beside one of that name): lang, score, ambiguous."""
 
     @F.arrow_udf("struct<lang:string,score:double,ambiguous:boolean>")
     def tell(texts: pa.Array) -> pa.Array:
@@ -143,7 +143,7 @@ def predicted(docs: DataFrame, model: Coder | None) -> DataFrame:
 
     none = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("language", F.when(lettered, tell("text")).otherwise(none))
+    return docs.withColumn(free_name(docs, "language"), F.when(lettered, tell("text")).otherwise(none))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import RAW_ALNUM, alnum_words, table
+from codeweft.llm.common import RAW_ALNUM, alnum_words, free_name, table
 
 LEFT, RIGHT = 8, 16
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -161,21 +161,22 @@ def _base(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column `scan`: n_words, base (array of start, label), found (unsuppressed detections: start,
+    """docs with a struct column `scan` (`scan_` beside one of that name): n_words, base (array of start, label), found (unsuppressed detections: start,
     end, priority, label, score)."""
     low = F.lower(F.col(text))
     gate = F.lit(False)
     for term in GATE:
         gate = gate | low.contains(term)
     gate = F.coalesce(gate, F.lit(False))
-    out = docs.withColumn("__words", F.when(gate, alnum_words(F.col(text))))
-    out = out.withColumn("__all", _detections(F.col("__words"))).withColumn("__base", _base(F.col("__words")))
+    words, all_, base = (free_name(docs, c) for c in ("__words", "__all", "__base"))
+    out = docs.withColumn(words, F.when(gate, alnum_words(F.col(text))))
+    out = out.withColumn(all_, _detections(F.col(words))).withColumn(base, _base(F.col(words)))
     found = F.transform(
-        _unsuppressed(F.col("__all")),
+        _unsuppressed(F.col(all_)),
         lambda d: F.struct(d["start"].cast("long").alias("start"), (-d["minus_end"]).cast("long").alias("end"), d["priority"].alias("priority"), d["label"].alias("label"), d["score"].alias("score")),
     )
     none = F.coalesce(F.regexp_count(F.col(text), F.lit(RAW_ALNUM)), F.lit(0)).cast("long")
-    return out.withColumn("scan", F.struct(none.alias("n_words"), F.coalesce("__base", F.expr("cast(array() as array<struct<start:int,label:string>>)")).alias("base"), found.alias("found"))).drop("__words", "__all", "__base")
+    return out.withColumn(free_name(docs, "scan"), F.struct(none.alias("n_words"), F.coalesce(base, F.expr("cast(array() as array<struct<start:int,label:string>>)")).alias("base"), found.alias("found"))).drop(words, all_, base)
 
 
 def op9_license(spark: SparkSession, sf_dir: str) -> DataFrame:

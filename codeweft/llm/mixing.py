@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import SPACED, hash_share, materialise, numbered, row_hash, table
+from codeweft.llm.common import SPACED, hash_share, materialise, numbered, packed, row_hash, table, unpacked
 
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself, with the columns of docs: each complete copy is a row, each piece a row with those words only."""
     plan = numbered(mix(docs, seed).where("taken > 0").select("row_key", "whole", "pieces"), "row_key", "copy")
-    rows = docs.select(row_hash(F.col("doc_id"), F.col("text"), seed).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(row_hash(F.col("doc_id"), F.col("text"), seed).alias("row_key"), packed(docs).alias("row"))
     joined = numbered(rows, "row_key", "copy").join(plan, ["row_key", "copy"])
     none = F.struct(F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("to"))
     parts = joined.withColumn("part", F.explode(F.concat(F.array_repeat(none, F.col("whole").cast("int")), F.col("pieces"))))
@@ -142,7 +142,7 @@ def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
     made = {"text": F.col("cut")}
     if "n_chars" in docs.columns:
         made["n_chars"] = F.when(F.col("part.from").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[made[c].alias(c) if c in made else x for c, x in zip(docs.columns, unpacked("row", docs.columns))])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import chunks, fold, labelled_sample, mix, per_row, prefix_sums, span_hash, spans, struct_array, table
+from codeweft.llm.common import chunks, fold, free_name, labelled_sample, mix, per_row, prefix_sums, span_hash, spans, struct_array, table
 
 PER_CLASS, SEED = 4000, "quality-1"
 TREES, DEPTH, BINS, RATE, LEAF, RIDGE = 60, 3, 32, 0.15, 20, 1.0
@@ -177,13 +177,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with a struct column `judged`: COUNTS, good (probability), base_failed, kept."""
+    """docs with a struct column `judged` (`judged_` beside one of that name): COUNTS, good (probability), base_failed,
+    kept."""
     model = train(docs.select("doc_id", "text"), labels)
-    out = docs.withColumn("__c", counts_udf(model)("text"))
-    c = lambda k: F.col(f"__c.{k}")
+    name = free_name(docs, "judged")
+    out = docs.withColumn(name, counts_udf(model)("text"))
+    c = lambda k: F.col(f"{name}.{k}")
     failed = (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
     fields = [c(k).alias(k) for k in (*COUNTS, "good")]
-    return out.withColumn("judged", F.struct(*fields, failed.alias("base_failed"), (~failed & (c("good") >= threshold)).alias("kept"))).drop("__c")
+    return out.withColumn(name, F.struct(*fields, failed.alias("base_failed"), (~failed & (c("good") >= threshold)).alias("kept")))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import hash_share, materialise, numbered, row_hash, table
+from codeweft.llm.common import free_name, hash_share, materialise, numbered, packed, row_hash, table, unpacked
 
 SEED = "interleave-1"
 RANGE_ROWS = 20_000
@@ -69,12 +69,12 @@ def assign(docs: DataFrame, n_shards: int = 8, seed: str = SEED, range_rows: int
 
 
 def interleave(docs: DataFrame, n_shards: int = 8, seed: str = SEED) -> DataFrame:
-    """The documents themselves with shard and slot. Rows are matched to their places by key and running number."""
+    """The documents themselves with shard and slot (shard_ and slot_ beside columns of these names). Rows are matched to
+    their places by key and running number."""
     places = numbered(assign(docs, n_shards, seed).select("row_key", "shard", "slot"), "row_key", "copy")
-    rows = docs.select(row_hash(F.col("doc_id"), F.col("text"), seed).alias("row_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(row_hash(F.col("doc_id"), F.col("text"), seed).alias("row_key"), packed(docs).alias("row"))
     joined = numbered(rows, "row_key", "copy").join(places, ["row_key", "copy"])
-    extra = [c for c in ("shard", "slot") if c not in docs.columns]
-    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *extra)
+    return joined.select(*unpacked("row", docs.columns), *[F.col(c).alias(free_name(docs, c)) for c in ("shard", "slot")])
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
