@@ -1,10 +1,12 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are lower-cased words and their prefixes of PREFIXES bytes (inflected forms), as 64-bit hashes. From a bounded
-sample of labelled rows (PER_CLASS of each label, by seeded hash) the TERMS most telling ones are kept, by a
-log-likelihood ratio of document counts. The machine scores the set of terms that a text has: a bias, a weight for each
+sample of labelled rows (PER_CLASS of each label, by seeded hash) TERMS are kept: the most telling ones by a
+log-likelihood ratio of document counts, and the COMMON most frequent others of toxic texts, which tell nothing alone
+but may beside another. The machine scores the set of terms that a text has: a bias, a weight for each
 term and, by the inner products of FACTORS numbers, for each pair of terms, so that two terms can mean more together
 than the sum of each. It is fitted by AdaGrad in numpy; class weights restore the shares of the labels.
+Every fifth sample row, left out of a first fit, tells how margins are shifted to suit THRESHOLD.
 
 Defined results: null or empty text gets the score of no terms; without labelled rows of both kinds the score is the
 share of toxic labels (0 without any); equal texts score alike; other columns don't matter.
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import chunks, fold, labelled_sample, prefix_sums, remainder, span_hash, spans, table
+from codeweft.llm.common import chunks, fold, free_name, Slots, labelled_sample, prefix_sums, remainder, span_hash, spans, table
 
 PER_CLASS, SEED = 4000, "toxic-1"
-PREFIXES, TERMS, LEAST, FACTORS = (5, 6, 7), 4096, 12.0, 8
+PREFIXES, TERMS, COMMON, LEAST, FACTORS = (5, 6, 7), 4096, 1024, 12.0, 8
 EPOCHS, BATCH, RATE, L2 = 40, 256, 0.08, 2e-4
 THRESHOLD = 0.3
 SLOTS = 20
@@ -40,25 +42,8 @@ def terms(data: np.ndarray, offsets: np.ndarray):
 
 class Machine:
     def __init__(self, hashes: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray):
-        """Of terms that share a slot the earlier stays."""
-        slot = (hashes >> np.uint64(64 - SLOTS)).astype(np.int64)
-        keep = np.sort(np.unique(slot, return_index=True)[1])
-        self.hashes, self.bias, self.w, self.v = hashes[keep], bias, w[keep], v[keep]
-        self.slots = np.full(1 << SLOTS, -1, np.int32)
-        self.slots[slot[keep]] = np.arange(len(keep))
-
-    def __getstate__(self):
-        return {"hashes": self.hashes, "bias": self.bias, "w": self.w, "v": self.v}
-
-    def __setstate__(self, s):
-        self.__init__(**s)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Numbers of terms, -1 for unknown ones."""
-        if not len(self.hashes):
-            return np.full(len(h), -1)
-        at = self.slots[(h >> np.uint64(64 - SLOTS)).astype(np.int64)]
-        return np.where((at >= 0) & (self.hashes[np.maximum(at, 0)] == h), at, -1)
+        """find: numbers of terms by hash, -1 for unknown ones."""
+        self.find, self.bias, self.w, self.v = Slots(hashes, SLOTS), bias, w, v
 
     def score(self, row: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """row, term: distinct pairs."""
@@ -136,15 +121,39 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
     out = lambda k, total, all_: np.where(total - k > 0, (total - k) * np.log(np.maximum(total - k, 1e-9) / np.maximum((len(y) - a - b) * total / len(y), 1e-9)), 0)
     ratio = 2 * (part(a, p) + part(b, n) + out(a, p, a) + out(b, n, b))
-    best = np.lexsort((hashes, -ratio))[:TERMS]
+    best = np.lexsort((hashes, -ratio))[: TERMS - COMMON]
     best = best[ratio[best] >= LEAST]
+    # terms that may matter beside others only: the most frequent ones in toxic texts, whatever their own ratio
+    also = np.lexsort((hashes, -a))
+    also = also[(a[also] >= 3) & ~np.isin(also, best)][:COMMON]
+    best = np.concatenate([best, also])
     number = np.full(len(hashes), -1)
     number[best] = np.arange(len(best))
     ids = number[inverse]
     of = got["of"].to_numpy().astype(float)
     weight = np.where(y == 1, of / p, of / n)
     keep = ids >= 0
-    return Machine(hashes[best], *fit(row[keep], ids[keep], y, weight / weight.mean(), len(best)))
+    row, ids, weight = row[keep], ids[keep], weight / weight.mean()
+    bias, w, v = fit(row, ids, y, weight, len(best))
+    return Machine(hashes[best], bias + shift(row, ids, y, weight, len(best)), w, v)
+
+
+def shift(row: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np.ndarray, n_terms: int) -> float:
+    """What to add to margins so that THRESHOLD is where a machine fitted without every fifth row judges those rows
+    best (by F1 of the weighted counts). 0 if they are too few to tell."""
+    check = np.arange(len(y)) % 5 == 4
+    if min(y[check].sum(), (1 - y[check]).sum()) < 20:
+        return 0.0
+    of = lambda rows: (np.cumsum(rows)[row[rows[row]]] - 1, ids[rows[row]])
+    machine = Machine(np.zeros(0, np.uint64), *fit(*of(~check), y[~check], weight[~check], n_terms))
+    score, toxic, share = machine.score(*of(check), int(check.sum())), y[check] == 1, weight[check]
+    logit = lambda p: np.log(p / (1 - p))
+    best = (-1.0, 0.0, 0.0)
+    for t in np.arange(0.1, 0.51, 0.05):
+        said = score >= t
+        f1 = 2 * share[said & toxic].sum() / max(share[said].sum() + share[toxic].sum(), 1e-9)
+        best = max(best, (f1, -abs(t - THRESHOLD), logit(THRESHOLD) - logit(t)))
+    return float(best[2])
 
 
 def score_udf(model: Machine):
@@ -164,9 +173,10 @@ def score_udf(model: Machine):
 
 
 def scored(docs: DataFrame, labels: DataFrame, fold_of: int = 4, held_out: int = 2) -> DataFrame:
-    """docs with a column `toxicity`, learnt from labelled rows outside the held-out fold."""
+    """docs with a column `toxicity` (`toxicity_` beside one of that name), learnt from labelled rows outside the
+    held-out fold."""
     known = labels.where(remainder(F.col("doc_id"), fold_of) != held_out)
-    return docs.withColumn("toxicity", score_udf(train(docs.select("doc_id", "text"), known))("text"))
+    return docs.withColumn(free_name(docs, "toxicity"), score_udf(train(docs.select("doc_id", "text"), known))("text"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
