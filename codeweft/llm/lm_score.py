@@ -1,19 +1,24 @@
 """LM scoring: corpus unigrams and a gated recurrent model with a class-factored softmax (see gru.py).
 
-One pass turns each text into numbers of the FREQUENT words (chosen from counts over all training texts) and hashes of
-the rest, written to the shared folder; everything later reads that. Counts cover the whole training part: frequent
-words by bounded tables, rare words by a shuffle on their hashes, in which each occurrence meets its word's count. So
-no vocabulary is ever broadcast beyond FREQUENT words.
+Training words are counted exactly: each task adds up its own, then their hashes meet. One pass turns each text into
+numbers of the FREQUENT most frequent words and hashes of the rest, written to the shared folder; everything later
+reads that. Rare words meet their counts in a join on their hashes; no vocabulary is ever broadcast beyond FREQUENT
+words.
 
 The recurrent model knows the most frequent words, as many as the square root of the training tokens (a corpus' words
 grow about so; MODEL_WORDS at least, FREQUENT at most), the end, and one class of all other words; a word of that class
 gets the model's probability of the class times the word's smoothed share of it by the corpus counts, so that scores
-stay probabilities of whole texts. Training runs where the data lie: each task trains on its texts, and the
-parameters are averaged, by tokens, in a tree of tasks, ROUNDS times. Each round takes its share of the training
-texts, by hash, and all rounds together take every training text once.
+stay probabilities of whole texts.
 
-Defined results: null text is empty: its end is its only token. Without training texts every count is 0. Equal texts
-score alike (to rounding). Other columns don't matter.
+Training takes every training text once, in ROUNDS shares by a hash of the row. In a round the share is dealt by that
+hash to units of about UNIT tokens (more for a large model, see unit_tokens()). Each unit is trained from the round's
+start, its texts in order of the hash, and the units' parameters are averaged by tokens, FAN at a time. So neither the
+files' layout nor the number of tasks has a say in the model.
+
+Defined results: null text is empty: its end is its only token. Without training texts every count is 0. Repeated rows
+count each time, and equal texts score alike (to rounding, which the texts beside it and the order of sums move).
+Words of equal count are numbered by hash. A text of any length is scored whole, with the state carried to its end.
+Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,16 +26,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import chunks, fold, materialise, prefix_sums, remainder, span_hash, spans, table
-from codeweft.llm.gru import Gru
+from codeweft.llm.common import Slots, chunks, fold, materialise, prefix_sums, remainder, span_hash, spans, table
+from codeweft.llm.gru import Gru, class_cuts
 
-FREQUENT, TOP, SLOTS = 65_000, 16_384, 21
-MODEL_WORDS, HIDDEN = 512, 12
-ROUNDS, FAN = 2, 16
+FREQUENT, SLOTS = 65_000, 21
+MODEL_WORDS, HIDDEN = 512, 16
+ROUNDS, FAN, UNIT = 2, 16, 1 << 20
 RARE = 65_535
+#: Words that a task holds while it counts.
+HELD = 1 << 20
+#: Tokens scored at a time; a longer text comes alone.
+PART = 4 << 20
+
+
+def unit_tokens(model: Gru) -> int:
+    """Two bytes a token and four a parameter: what units write is then a quarter of what they read at most."""
+    return max(UNIT, 8 * len(model.flat()))
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,141 +53,98 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return span_hash(prefix_sums(data), starts, ends), first
 
 
-def _frequent(docs: DataFrame, n: int) -> np.ndarray:
-    """Hashes of about the n most frequent words of the training texts, most frequent first. Each task puts forward
-    its TOP words; whether a word is among them decides how it is counted, not what its count is."""
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """h, c: how often training texts have each word."""
 
-    def top(batches):
+    def count(batches):
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["h", "c"])
         for b in batches:
-            for _, _, data, offsets in chunks(b.column(0)):
+            for _, _, data, offsets in chunks(b.column(0), 8 << 20):
                 h, c = np.unique(_word_hashes(data, offsets)[0], return_counts=True)
-                both, inverse = np.unique(np.concatenate([words, h[c > 1]]), return_inverse=True)
-                counts = np.bincount(inverse, np.concatenate([counts, c[c > 1]]), minlength=len(both)).astype(np.int64)
-                words = both
-                if len(words) > 8 * TOP:
-                    best = np.argsort(-counts, kind="stable")[: 4 * TOP]
-                    best.sort()
-                    words, counts = words[best], counts[best]
-        best = np.argsort(-counts, kind="stable")[:TOP]
-        yield pa.RecordBatch.from_arrays([pa.array(words[best].view(np.int64)), pa.array(counts[best])], ["h", "c"])
-
-    got = docs.where("not held_out").select("text").mapInArrow(top, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    return got.orderBy(F.desc("c"), "h").limit(n).toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)
-
-
-class Lookup:
-    """Word numbers by hash; of words that share a slot only the first is known."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-
-    def __call__(self, h: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "slots"):
-            self.slots = np.full(1 << SLOTS, -1, np.int32)
-            self.slots[(self.hashes[::-1] >> np.uint64(64 - SLOTS)).astype(np.int64)] = np.arange(len(self.hashes))[::-1]
-        at = self.slots[(h >> np.uint64(64 - SLOTS)).astype(np.int64)]
-        if not len(self.hashes):
-            return np.full(len(h), RARE)
-        return np.where((at >= 0) & (self.hashes[np.maximum(at, 0)] == h), at, RARE)
+                words, inverse = np.unique(np.concatenate([words, h]), return_inverse=True)
+                counts = np.bincount(inverse, np.concatenate([counts, c]), minlength=len(words)).astype(np.int64)
+                if len(words) > HELD:
+                    yield flush()
+                    words, counts = words[:0], counts[:0]
+        yield flush()
 
-    def __getstate__(self):
-        return {"hashes": self.hashes}
+    return docs.where("not held_out").select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _encode(docs: DataFrame, lookup: Lookup) -> DataFrame:
-    """row_id, doc_id, held_out, n_tokens, ids (two bytes a word), rare (hashes)."""
+def _encode(docs: DataFrame, lookup: Slots) -> DataFrame:
+    """row_id, key, doc_id, held_out, n_tokens, ids (two bytes a word), rare (hashes). row_id tells rows apart; key is a
+    hash of the row."""
 
     def encode(batches):
         task, done = TaskContext.get().partitionId(), 0
         for b in batches:
-            for at, n, data, offsets in chunks(b.column(2)):
+            for at, n, data, offsets in chunks(b.column(3)):
                 h, first = _word_hashes(data, offsets)
-                ids = lookup(h).astype(np.uint16)
-                rare = ids == RARE
+                ids = lookup(h)
+                rare = ids < 0
+                ids = np.where(rare, RARE, ids).astype(np.uint16)
                 begin = np.r_[0, np.cumsum(rare)][first]
-                raw = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((first * 2).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((first * 2).astype(np.int64).tobytes()), pa.py_buffer(ids.tobytes())])
                 lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(h[rare].view(np.int64)))
                 row = np.arange(n, dtype=np.int64) + done + (task << 33)
                 done += n
-                yield pa.RecordBatch.from_arrays([pa.array(row), b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(np.diff(first) + 1, pa.int64()), raw, lists], ["row_id", "doc_id", "held_out", "n_tokens", "ids", "rare"])
+                kept = [b.column(i).slice(at, n) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(row), *kept, pa.array(np.diff(first) + 1, pa.int64()), raw.cast(pa.binary()), lists], ["row_id", "key", "doc_id", "held_out", "n_tokens", "ids", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "held_out", "text").mapInArrow(encode, f"row_id long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<long>")
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    return docs.select(key.alias("key"), "doc_id", "held_out", "text").mapInArrow(encode, f"row_id long, key long, doc_id {kind}, held_out boolean, n_tokens long, ids binary, rare array<long>")
 
 
-def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint16) for x in column]
+def _model_ids(ids: np.ndarray, n_words: int) -> np.ndarray:
+    return np.where(ids < n_words, ids, n_words + 1).astype(np.int32)
 
 
-def _model_ids(column: pa.Array, n_words: int) -> list[np.ndarray]:
-    return [np.where(x < n_words, x, n_words + 1).astype(np.int64) for x in _ids(column)]
+def _rare_sums(encoded: DataFrame, words: DataFrame) -> DataFrame:
+    """For each text: sum of log10(count + 0.5) of its rare words, and how many of them training texts have. Texts
+    without rare words are left out. A join that Spark can split, if a word's hash is hot."""
+    met = encoded.select("row_id", F.explode("rare").alias("h")).join(words, "h", "left")
+    return met.groupBy("row_id").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("rare_log"), F.count("c").alias("rare_known"))
 
 
-def _frequent_counts(encoded: DataFrame, n: int) -> np.ndarray:
-    def count(batches):
-        c = np.zeros(RARE + 1, np.int64)
-        for b in batches:
-            for x in _ids(b.column(0)):
-                c += np.bincount(x, minlength=RARE + 1) if len(x) > 5000 else 0
-                if len(x) <= 5000:
-                    np.add.at(c, x, 1)
-        some = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(c[some])], ["i", "c"])
-
-    got = encoded.where("not held_out").select("ids").mapInArrow(count, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(RARE + 1, np.int64)
-    out[got["i"].to_numpy().astype(np.int64)] = got["c"].to_numpy()
-    return out[:n] if n else out[:0]
-
-
-def _rare_sums(encoded: DataFrame) -> DataFrame:
-    """For each text: sum of log10(count + 0.5) and number of its rare words that training texts have, and how many
-    of those words it is the first to have. A rare word's rows meet in one group, which is small since it is rare."""
-    rows = encoded.select("row_id", (~F.col("held_out")).cast("int").alias("known"), F.explode("rare").alias("h"))
-    w = Window.partitionBy("h")
-    met = rows.withColumn("c", F.sum("known").over(w)).withColumn("k", F.row_number().over(w.orderBy("row_id")))
-    return met.groupBy("row_id").agg(
-        F.sum(F.log10(F.col("c") + F.lit(0.5))).alias("rare_log"),
-        F.sum((F.col("c") > 0).cast("long")).alias("rare_known"),
-        F.sum(((F.col("c") > 0) & (F.col("k") == 1)).cast("long")).alias("rare_words"),
-    )
-
-
-def _train(encoded: DataFrame, model: Gru) -> Gru:
+def _learner(flat: np.ndarray, cuts: np.ndarray, hidden: int):
+    def learn(t):
+        m = Gru(cuts, hidden, {}).with_flat(flat)
+        t = t.sort_by([("key", "ascending"), ("ids", "ascending")])
+        done, texts, held = 0, [], 0
+        for ids in t["ids"]:
+            texts.append(_model_ids(np.frombuffer(ids.as_buffer(), np.uint16), m.n_words))
+            held += len(texts[-1])
+            if held > 1 << 20:
+                done, texts, held = done + m.train(texts, 512, 16), [], 0
+        done += m.train(texts, 512, 16)
+        return pa.table({"unit": [t["unit"][0].as_py()], "n": [float(done)], "flat": pa.array([m.flat().tobytes()], pa.binary())})
+
+    return learn
+
+
+def _averaged(t):
+    t = t.sort_by("unit")
+    n, total = 0.0, 0.0
+    for k, v in zip(t["n"].to_pylist(), t["flat"]):
+        total, n = total + np.frombuffer(v.as_buffer(), np.float32).astype(np.float64) * k, n + k
+    return pa.table({"unit": [t["unit"][0].as_py() // FAN], "n": [n], "flat": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+
+
+def _train(encoded: DataFrame, model: Gru, tokens: int) -> Gru:
     """Rounds of local training and averaging, over disjoint shares that make up all training texts."""
+    units = max(1, -(-tokens // (ROUNDS * unit_tokens(model))))
+    rows = encoded.where("not held_out").select("key", "ids", F.pmod("key", F.lit(ROUNDS)).alias("round"), F.pmod(F.shiftright("key", 8), F.lit(units)).cast("long").alias("unit"))
+    kind = "unit long, n double, flat binary"
     for r in range(ROUNDS):
-        mine = F.pmod(F.xxhash64("row_id"), F.lit(ROUNDS)) == r
-        flat, shape = model.flat(), (model.n_words, model.hidden)
-
-        def learn(batches, flat=flat, shape=shape):
-            m, tokens, texts, held = Gru(*shape, params={}), 0, [], 0
-            m = Gru(*shape, counts=np.ones(shape[0] + 2)).with_flat(flat)
-            for b in batches:
-                texts += _model_ids(b.column(0), shape[0])
-                held = sum(map(len, texts))
-                if held > 1_000_000:
-                    tokens, texts = tokens + m.train(texts, 256, 16), []
-            tokens += m.train(texts, 256, 16)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([float(tokens)]), pa.array([m.flat().astype(np.float32).tobytes()], pa.binary())], ["n", "flat"])
-
-        def average(batches):
-            n, total = 0.0, None
-            for b in batches:
-                for k, v in zip(b.column(0).to_pylist(), b.column(1)):
-                    x = np.frombuffer(v.as_buffer(), np.float32).astype(np.float64) * k
-                    total, n = x if total is None else total + x, n + k
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "flat"])
-
-        got = materialise(encoded.where(~F.col("held_out") & mine).select("ids").mapInArrow(learn, "n double, flat binary"), "lm-params")
-        while (count := got.count()) > 1:
-            got = materialise(got.repartition(-(-count // FAN)).mapInArrow(average, "n double, flat binary"), "lm-params")
-        rows = got.collect()  # one
-        if rows:
-            n = sum(x["n"] for x in rows)
-            model = model.with_flat(sum(np.frombuffer(x["flat"], np.float32).astype(np.float64) * (x["n"] / n) for x in rows))
+        mine, left = rows.where(F.col("round") == r).select("unit", "key", "ids"), units
+        got = materialise(mine.groupBy("unit").applyInArrow(_learner(model.flat(), model.cuts, model.hidden), kind), "lm-params")
+        while left > 1:
+            got, left = materialise(got.groupBy(F.floor(F.col("unit") / FAN)).applyInArrow(_averaged, kind), "lm-params"), -(-left // FAN)
+        one = got.first()
+        if one is not None:
+            model = model.with_flat(np.frombuffer(one["flat"], np.float32))
     return model
 
 
@@ -181,36 +152,45 @@ def _scored(encoded: DataFrame, model: Gru, counts: np.ndarray) -> DataFrame:
     """Of each text: sums over its frequent words, and the model's log10 probability of its word classes."""
     logs = np.r_[np.log10(counts + 0.5), np.zeros(RARE + 1 - len(counts))]
     known = np.r_[counts > 0, np.zeros(RARE + 1 - len(counts), bool)]
-    flat, shape = model.flat(), (model.n_words, model.hidden)
+    flat, cuts, hidden = model.flat(), model.cuts, model.hidden
+    made = ["model_log", "frequent_log", "frequent_known", "other_log", "n_other"]
 
     def score(batches):
-        m = Gru(*shape, counts=np.ones(shape[0] + 2)).with_flat(flat)
+        m = Gru(cuts, hidden, {}).with_flat(flat)
         for b in batches:
-            raw = _ids(b.column(1))
-            ids = [np.where(x < shape[0], x, shape[0] + 1).astype(np.int64) for x in raw]
-            p = m.score(ids, 512, 32) / np.log(10) if len(ids) else np.zeros(0)
-            cols = [[logs[x].sum() for x in raw], [int(known[x].sum()) for x in raw], [logs[x[x >= shape[0]]].sum() for x in raw], [int((x >= shape[0]).sum()) for x in raw]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.asarray(p, float)), pa.array(cols[0], pa.float64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())], ["row_id", "model_log", "frequent_log", "frequent_known", "other_log", "n_other"])
-
-    out = encoded.select("row_id", "ids").mapInArrow(score, "row_id long, model_log double, frequent_log double, frequent_known long, other_log double, n_other long")
-    return out
+            raw = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column("ids")]
+            p = np.zeros(len(raw))
+            at = 0
+            while at < len(raw):  # about PART tokens at a time
+                size = np.cumsum([len(x) for x in raw[at:]])
+                to = at + max(1, int(np.searchsorted(size, PART)))
+                p[at:to] = m.score([_model_ids(x, m.n_words) for x in raw[at:to]], 512, 32) / np.log(10)
+                at = to
+            cols = [p, [logs[x].sum() for x in raw], [int(known[x].sum()) for x in raw], [logs[x[x >= m.n_words]].sum() for x in raw], [int((x >= m.n_words).sum()) for x in raw]]
+            kinds = [pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()]
+            kept = [b.column(c) for c in ("row_id", "doc_id", "held_out", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(cols, kinds))], ["row_id", "doc_id", "held_out", "n_tokens", *made])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("row_id", "doc_id", "held_out", "n_tokens", "ids").mapInArrow(score, f"row_id long, doc_id {kind}, held_out boolean, n_tokens long, model_log double, frequent_log double, frequent_known long, other_log double, n_other long")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, held_out. Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    hashes = _frequent(docs, FREQUENT)
-    encoded = materialise(_encode(docs, Lookup(hashes)), "lm-texts")
-    counts = _frequent_counts(encoded, len(hashes))
-    rare = materialise(_rare_sums(encoded), "lm-rare")
+    words = materialise(_word_counts(docs), "lm-words")
+    top = words.orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    hashes, counts = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
+    encoded = materialise(_encode(docs, Slots(hashes, SLOTS)), "lm-texts")
+    rare = _rare_sums(encoded, words)
     totals = encoded.where("not held_out").agg(F.count("*").alias("texts"), F.sum("n_tokens").alias("tokens")).first()
     texts, tokens = totals["texts"] or 0, int(totals["tokens"] or 0)
-    distinct = int((counts > 0).sum()) + (texts > 0) + int(rare.agg(F.sum("rare_words")).first()[0] or 0)
+    distinct = words.count() + (texts > 0)
     n_words = int(min(max(MODEL_WORDS, tokens**0.5), len(hashes)))
     inside = int(counts[:n_words].sum())
-    other, other_words = tokens - inside - texts, distinct - int((counts[:n_words] > 0).sum()) - (texts > 0)
-    model = Gru(n_words, HIDDEN, counts=np.r_[counts[:n_words], texts, other])
-    model = _train(encoded, model)
-    rows = encoded.select("row_id", "doc_id", "held_out", "n_tokens").join(_scored(encoded, model, counts), "row_id").join(rare, "row_id", "left")
+    other, other_words = tokens - inside - texts, distinct - n_words - (texts > 0)
+    model = Gru(class_cuts(counts[:n_words], tokens), HIDDEN, counts=np.r_[counts[:n_words], texts, other])
+    model = _train(encoded, model, tokens)
+    rows = _scored(encoded, model, counts).join(rare, "row_id", "left")
     rare_log = F.coalesce("rare_log", F.lit(0.0))
     base = F.col("frequent_log") + rare_log + F.lit(float(np.log10(texts + 0.5))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + 0.5 * (distinct + 1))))
     score = F.col("model_log") + F.col("other_log") + rare_log - F.col("n_other") * F.lit(float(np.log10(other + 0.5 * (other_words + 1))))
