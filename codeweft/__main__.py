@@ -7,10 +7,9 @@ import argparse
 from pyspark.sql import SparkSession
 
 from codeweft.functions import embed as M
-from codeweft.operators import dupes, graph, search
-from codeweft.plans import evaluate, load, report
+from codeweft.plans import evaluate, load
+from codeweft.plans import tools as T
 from codeweft.sources import graph_json
-from codeweft.sources.git_state import freshness, freshness_report
 from codeweft.sources.store import Store
 
 
@@ -29,45 +28,41 @@ def parser() -> argparse.ArgumentParser:
     command("load", "graph", "project", graph_json=None, labels=None, no_snippets=False, no_cache=False, force=False)
     command("list")
     command("status", "graph", root=None)
-    command("query", "graph", "question", k=8, kind="all", hybrid=False)
+    command("query", "graph", "question", k=8, kind="all", hybrid=False, snippet=False)
     command("tests", "graph", "symbol", hops=2)
     command("impact", "graph", "symbol", hops=2)
     command("explain", "graph", "symbol", neighbors=10)
     command("trace", "graph", "symbol", to="", hops=4, references=False)
     command("similar", "graph", "symbol", k=6, threshold=0.10, kind="all")
-    command("dupes", "graph", kind="prod", threshold=0.06, topk=4, pairs=False, framework=False)
+    command("dupes", "graph", kind="prod", threshold=0.06, topk=4, pairs=False, framework=False, limit=20)
+    command("path", "graph", "source", "target", hops=6)
     command("eval", "graph", "golden")
     return p
 
 
 def answer(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     store = Store(spark, a.store)
-    if a.command == "list":
-        return [f"{r.graph}\t{r.path or '?'}" for r in store.graphs().collect()]
     if a.command == "load":
-        return [str(load.load(store, a.graph, a.project, a.graph_json, a.labels, None if a.no_snippets else a.project, force=a.force, use_cache=not a.no_cache))]
-    if a.command == "status":
-        return [freshness_report(a.graph, freshness(store.state("meta").get(a.graph), a.root))]
-    nodes, edges = store.graph(a.graph)
-    vectors = nodes.select("id", "embedding")
-    if a.command == "query":
-        M.check_model(store.state("config"), M.MODEL, M.VERSION)
-        q = M.query_vector(spark, a.question, M.embedder())
-        return [f"{r.score:.4f}  {r.label} ({r.file_type}, {r.source_file})" for r in search.search(nodes, vectors, q, a.question, a.k, kind=a.kind, hybrid=a.hybrid).collect()]
-    if a.command in ("tests", "impact"):
-        return getattr(report, a.command)(a.graph, nodes, edges, a.symbol, a.hops)
-    if a.command == "explain":
-        return report.explain(a.graph, nodes, edges, a.symbol, a.neighbors)
-    if a.command == "trace":
-        return report.trace(a.graph, nodes, edges, a.symbol, a.to, a.hops, a.references)
-    if a.command == "similar":
-        r = graph.resolve(nodes, edges, a.symbol).first()
-        return report.similar(a.graph, r.label, dupes.similar(nodes, edges, vectors, r.id, a.k, a.threshold, a.kind)) if r else [f"[{a.graph}] no symbol '{a.symbol}'"]
-    if a.command == "dupes":
-        found = graph.cut(dupes.pairs(nodes.drop("embedding"), edges, vectors, a.kind, a.threshold, a.topk, a.framework))
-        return report.pairs(a.graph, nodes, found) if a.pairs else report.clusters(a.graph, graph.cut(dupes.clusters(nodes, found)))
-    table, missed = evaluate.run_eval(nodes, vectors, graph_json.read_golden(spark, a.golden), M.embedder())
-    return [f"{r.config:<10} {r.recall_5:.2f} {r.recall_10:.2f} {r.mrr_10:.3f}" for r in table.collect()] + [f"  missed: {r.q}" for r in missed.collect()]
+        embed, why = M.choose_embedder(store.state("config"))
+        done = load.load(store, a.graph, a.project, a.graph_json, a.labels, None if a.no_snippets else a.project, embed=embed, force=a.force, use_cache=not a.no_cache)
+        return [f"{k}: {v}" for k, v in done.items()] + [f"embedder: {why}"]
+    if a.command == "eval":
+        nodes, _ = store.graph(a.graph)
+        table, missed = evaluate.run_eval(nodes, nodes.select("id", "embedding"), graph_json.read_golden(spark, a.golden), M.choose_embedder(store.state("config"))[0])
+        return [f"{r.config:<10} {r.recall_5:.2f} {r.recall_10:.2f} {r.mrr_10:.3f}" for r in table.collect()] + [f"  missed: {r.q}" for r in missed.collect()]
+    calls = {
+        "list": lambda: T.list_graphs(store),
+        "status": lambda: T.status(store, a.graph, a.root),
+        "query": lambda: T.search(store, a.graph, a.question, a.k, a.kind, a.hybrid, snippet=a.snippet),
+        "tests": lambda: T.tests(store, a.graph, a.symbol, a.hops),
+        "impact": lambda: T.impact(store, a.graph, a.symbol, a.hops),
+        "explain": lambda: T.explain(store, a.graph, a.symbol, a.neighbors),
+        "trace": lambda: T.trace(store, a.graph, a.symbol, a.to, a.hops, a.references),
+        "path": lambda: T.find_path(store, a.graph, a.source, a.target, a.hops),
+        "similar": lambda: T.similar(store, a.graph, a.symbol, a.k, a.threshold, a.kind),
+        "dupes": lambda: T.dupes(store, a.graph, a.kind, a.threshold, a.topk, a.pairs, a.framework, a.limit),
+    }
+    return calls[a.command]()
 
 
 if __name__ == "__main__":

@@ -12,6 +12,8 @@ from codeweft.functions import vocab as V
 
 
 SPACE = " \t\n\r\f\v"
+#: All white space of Unicode, which surrounds names.
+BLANK = SPACE + "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def bound(c: Column, f) -> Column:
@@ -24,8 +26,8 @@ def text(c: Column) -> Column:
 
 
 def bare(label: Column) -> Column:
-    """Name without surrounding spaces, leading dots and trailing parentheses."""
-    return F.rtrim(F.ltrim(F.trim(text(label)), F.lit(".")), F.lit("()"))
+    """Name without surrounding white space, leading dots and trailing parentheses."""
+    return F.rtrim(F.ltrim(F.btrim(text(label), F.lit(BLANK)), F.lit(".")), F.lit("()"))
 
 
 def norm(label: Column) -> Column:
@@ -51,7 +53,7 @@ def _any(conditions) -> Column:
 
 def is_generic(label: Column) -> Column:
     """Types, type parameters, primitives; a missing label is generic too."""
-    raw = F.trim(text(label))
+    raw = F.btrim(text(label), F.lit(BLANK))
     parameter = raw.rlike(r"^\p{Lu}\p{L}?$")
     return (raw == "") | F.rtrim(F.lower(raw), F.lit("()")).isin(*V.GENERIC) | parameter
 
@@ -106,7 +108,7 @@ def is_interface_member(label: Column, path: Column) -> Column:
 def is_family_pair(a: Column, b: Column) -> Column:
     x, y = bare(a), bare(b)
     longer, shorter = F.when(F.length(x) >= F.length(y), x).otherwise(y), F.when(F.length(x) >= F.length(y), y).otherwise(x)
-    return (x != "") & (y != "") & (x != y) & _any(longer == F.concat(shorter, F.lit(s)) for s in V.FAMILY)
+    return (x != "") & (y != "") & longer.startswith(shorter) & F.substr(longer, F.length(shorter) + 1).isin(*V.FAMILY)
 
 
 def impact_category(label: Column, path: Column, file_type: Column) -> Column:
@@ -171,9 +173,24 @@ def node_text(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*[text(p) for p in parts]), lambda x: x != ""), " | ")
 
 
+def _code_tokens(c: Column) -> Column:
+    return F.regexp_extract_all(text(c), F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[^\sA-Za-z0-9_])"), F.lit(1))
+
+
+def shingle_hashes(c: Column, k: int = 4) -> Column:
+    """The 64-bit hashes of shingles(), made without their texts."""
+
+    def grams(t: Column) -> Column:
+        n = F.size(t)
+        every = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(k)]))
+        return F.when(n >= k, F.array_distinct(every)).when(n > 0, F.array(F.xxhash64(F.array_join(t, " ")))).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(_code_tokens(c), grams)
+
+
 def shingles(c: Column, k: int = 4) -> Column:
     """Distinct k-grams of identifiers and single signs; fewer tokens make one, none makes none."""
-    tokens = F.regexp_extract_all(text(c), F.lit(r"([A-Za-z_][A-Za-z0-9_]*|[^\sA-Za-z0-9_])"), F.lit(1))
+    tokens = _code_tokens(c)
 
     def grams(t: Column) -> Column:
         n = F.size(t)
@@ -184,7 +201,14 @@ def shingles(c: Column, k: int = 4) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+    """Of two arrays without repeats; 0 if either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(bound(shared, lambda m: m / (F.size(a) + F.size(b) - m)))
+
+
+def text_jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two texts by shingles, which are made once for each."""
+    return bound(F.struct(shingle_hashes(a).alias("a"), shingle_hashes(b).alias("b")), lambda x: jaccard(x["a"], x["b"]))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

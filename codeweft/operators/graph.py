@@ -97,12 +97,11 @@ def neighbours(nodes: DataFrame, edges: DataFrame, limit: int = 6) -> DataFrame:
     """One hop from every node: distinct (direction, relation, label); outgoing rows keep half of the limit where
     incoming ones exist, which fill the rest."""
     x = both_ways(edges).join(nodes.select(F.col("id").alias("b"), "label"), "b").select("a", "direction", "relation", "label").distinct()
-    w = Window.partitionBy("a", "direction")
-    x = x.withColumn("r", F.row_number().over(w.orderBy("relation", "label"))).withColumn("n", F.count("*").over(w))
-    ins = F.max(F.when(F.col("direction") == "in", F.col("n")).otherwise(0)).over(Window.partitionBy("a"))
-    outs = F.max(F.when(F.col("direction") == "out", F.col("n")).otherwise(0)).over(Window.partitionBy("a"))
-    keep_out = F.when(ins == 0, limit).otherwise(max(1, (limit + 1) // 2))
-    x = x.withColumn("keep_out", F.least(outs, keep_out))
+    # rows beyond the limit go before the shuffle, so a hub's window holds a few rows of each task
+    first = x.withColumn("r", F.row_number().over(Window.partitionBy("a", "direction").orderBy("relation", "label"))).where(F.col("r") <= limit)
+    counts = x.groupBy("a").agg(F.count_if(F.col("direction") == "in").alias("ins"), F.count_if(F.col("direction") == "out").alias("outs"))
+    keep_out = F.when(F.col("ins") == 0, limit).otherwise(max(1, (limit + 1) // 2))
+    x = first.join(counts.select("a", F.least("outs", keep_out).alias("keep_out")), "a")
     return x.where(F.col("r") <= F.when(F.col("direction") == "out", F.col("keep_out")).otherwise(limit - F.col("keep_out"))).select(F.col("a").alias("id"), "direction", "relation", "label")
 
 
@@ -120,9 +119,10 @@ def file_imports(nodes: DataFrame, edges: DataFrame, limit: int = 6) -> DataFram
     return x.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("relation", "target", "target_file"))).where(F.col("r") <= limit).drop("r")
 
 
-def convention_links(nodes: DataFrame, edges: DataFrame | None = None, canonical: bool = False) -> DataFrame:
-    """src_id, relation, id: nodes that belong to a node by name. With canonical, fragments go unless only they remain."""
-    names = nodes.select(F.col("id").alias("src_id"), E.bare(F.col("label")).alias("own"), F.posexplode(E.conventions(F.col("label"))).alias("k", "c"))
+def convention_links(nodes: DataFrame, edges: DataFrame | None = None, canonical: bool = False, of: str | None = None) -> DataFrame:
+    """src_id, relation, id: nodes that belong to a node by name (of: that node only). With canonical, fragments go
+    unless only they remain."""
+    names = (nodes if of is None else nodes.where(F.col("id") == of)).select(F.col("id").alias("src_id"), E.bare(F.col("label")).alias("own"), F.posexplode(E.conventions(F.col("label"))).alias("k", "c"))
     targets = (with_fragment(nodes, edges) if canonical else nodes.withColumn("fragment", F.lit(False))).select("id", "label", "fragment")
     x = names.join(targets, F.col("c.target") == F.col("label")).where("own <> label and src_id <> id")
     if canonical:
@@ -199,11 +199,12 @@ def trace(edges: DataFrame, ids: DataFrame, max_hops: int = 4, with_references:
     return bfs(edges, ids, "out", V.FLOW + (("references",) if with_references else ()), max_hops)
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """pairs: a, b. id and component (the least id), by min labels with pointer jumping."""
+def components(pairs: DataFrame, most: int = 100) -> DataFrame:
+    """pairs: a, b. id and component (the least id), by min labels with pointer jumping. A component of n nodes takes
+    about log2 n rounds; more than `most` raise an error."""
     both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
-    while True:
+    for _ in range(most):
         sent = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("component").alias("m"))
         merged = labels.join(sent, labels["id"] == sent["a"]).select("id", F.col("component").alias("was"), F.least("component", "m").alias("component"))
         onward = merged.select(F.col("id").alias("component"), F.col("component").alias("onward"))
@@ -211,3 +212,4 @@ def components(pairs: DataFrame) -> DataFrame:
         if new.where("component <> was").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")
+    raise RuntimeError(f"components need more than {most} rounds")

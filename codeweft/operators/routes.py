@@ -29,7 +29,7 @@ def _ids(nodes: DataFrame, ids: list[str]) -> DataFrame:
 def aliases(nodes: DataFrame, node_id: str) -> DataFrame:
     """id, bridge, place: what may stand for a node: itself (no bridge), partners by convention, its file's node."""
     own = nodes.where(F.col("id") == node_id)
-    named = G.convention_links(nodes).where((F.col("src_id") == node_id) & F.col("relation").isin(*V.ROUTING)).select("id", F.col("relation").alias("bridge"), F.lit(1).alias("place"))
+    named = G.convention_links(nodes, of=node_id).where(F.col("relation").isin(*V.ROUTING)).select("id", F.col("relation").alias("bridge"), F.lit(1).alias("place"))
     beside = nodes.join(own.select("source_file").distinct(), "source_file", "left_semi")
     file = G.file_nodes(beside).where((F.col("id") == node_id) & (F.col("file_id") != node_id)).select(F.col("file_id").alias("id"), F.lit("in_file").alias("bridge"), F.lit(2).alias("place"))
     every = own.select("id", _none().alias("bridge"), F.lit(0).alias("place")).unionByName(named).unionByName(file)
@@ -142,7 +142,7 @@ def find_route(nodes: DataFrame, edges: DataFrame, a: Row, b: Row, max_hops: int
 
 def related(nodes: DataFrame, edges: DataFrame, node_id: str, limit: int = 8) -> DataFrame:
     """relation, direction (null: by naming), id, label, source_file: what is near when there is no route."""
-    named = G.convention_links(nodes).where(F.col("src_id") == node_id).select(F.lit(0).alias("part"), "relation", _none().alias("direction"), "id")
+    named = G.convention_links(nodes, of=node_id).select(F.lit(0).alias("part"), "relation", _none().alias("direction"), "id")
     near = G.bfs(edges, _ids(nodes, [node_id]), "both", ("references", "imports", "imports_from", "calls"), 1, limit)
     first = named.orderBy("relation", "id").limit(limit).unionByName(near.select(F.lit(1).alias("part"), "relation", "direction", "id"))
     return first.join(nodes.select("id", "label", "source_file"), "id").orderBy("part", "relation", "id").drop("part")

@@ -43,20 +43,28 @@ def embedded(store: Store, nodes: DataFrame, model: str, embed, use_cache: bool
 def load(store: Store, name: str, project: str, graph_path: str | None = None, labels_path: str | None = None, source_root: str | None = None, model: str = M.MODEL, version: str = M.VERSION, embed=None, force: bool = False, use_cache: bool = True, cache_parts: int = 1) -> dict:
     """Loads a graph unless its file is unchanged. source_root: the folder of the source files, None without snippets.
 
-    A load that finds another one of this graph at work leaves a request, which the other takes up, and returns."""
+    A load that finds another one of this graph at work leaves a request, which the other takes up, and returns. A
+    request that comes after the other's last look is found by one of the two: the holder looks again when it has let
+    go, and who asked tries once more."""
+    path = graph_path or f"{project}/graph.json"
+    if not files.exists(store.spark, path):
+        raise FileNotFoundError(f"no graph at {path}")
     store.register(name, project)
-    out = {"graph": name, "queued": True}
-    if not store.lock(f"load-{name}"):
+    out, lock = {"graph": name, "queued": True}, f"load-{name}"
+    wanted = store.lock(lock)
+    if not wanted:
         store.request_rerun(name)
-        return out
-    try:
-        while True:
-            store.take_rerun(name)
-            out = _load_once(store, name, project, graph_path or f"{project}/graph.json", labels_path, source_root, model, version, embed or M.embedder(), force, use_cache, cache_parts)
-            if not store.take_rerun(name):
-                return out
-    finally:
-        store.unlock(f"load-{name}")
+        wanted = store.lock(lock) and (store.take_rerun(name) or store.unlock(lock))
+    while wanted:
+        try:
+            while wanted:
+                store.take_rerun(name)
+                out = _load_once(store, name, project, path, labels_path, source_root, model, version, embed or M.embedder(), force, use_cache, cache_parts)
+                wanted = store.take_rerun(name)
+        finally:
+            store.unlock(lock)
+        wanted = store.pending(name) and store.lock(lock)
+    return out
 
 
 def _load_once(store, name, project, graph_path, labels_path, source_root, model, version, embed, force, use_cache, cache_parts) -> dict:

@@ -65,23 +65,27 @@ def tests(name: str, nodes: DataFrame, edges: DataFrame, symbol: str, max_hops:
 
 
 def impact(name: str, nodes: DataFrame, edges: DataFrame, symbol: str, max_hops: int = 2) -> list[str]:
-    """What depends on a symbol by category, what contains it, and its partners by name."""
+    """What contains any definition of a symbol, what depends on them by category (LINES nodes at most, which is told),
+    and partners by name."""
     r = graph.resolve(nodes, edges, symbol).first()
     if r is None:
         return [f"[{name}] no symbol '{symbol}'"]
-    starts = graph.definition_ids(nodes, r.label)
-    reach = graph.cut(graph.bfs(edges, starts, "in", V.DEPENDENCY, max_hops))
+    starts = graph.cut(graph.definition_ids(nodes, r.label))
+    reach = graph.cut(graph.bfs(edges, starts, "in", V.DEPENDENCY, max_hops, LINES))
     rows = {x.category: x for x in graph.by_category(reach.join(nodes, "id")).collect()}
     out = header(name, "impact", r)
+    holders = graph.bfs(edges, starts, "in", V.CONTAINMENT, 1).join(nodes.select("id", "label"), "id").orderBy("label", "id").limit(5).collect()
+    out += [f"  defined in: {', '.join(f'{x.label} ({x.relation})' for x in holders)}"] if holders else []
+    least = len(out)
     for c in CATEGORIES:
         if c in rows:
             more = rows[c].n - min(rows[c].n, 10)
             out.append(f"  {c} ({rows[c].n}): {rows[c].labels}{f' (+{more} more)' if more else ''}")
-    holders = graph.bfs(edges, _one(nodes, r.id), "in", V.CONTAINMENT, 1).join(nodes.select("id", "label"), "id").orderBy("label", "id").limit(5).collect()
-    out += [f"  defined in: {', '.join(x.label for x in holders)}"] if holders else []
+    cut_off = reach.select("truncated").first()
+    out += [f"  (cut at {LINES} nodes)"] if cut_off and cut_off.truncated else []
     linked = graph.convention_links(nodes, edges, canonical=True).where(F.col("src_id") == r.id).join(reach.select("id"), "id", "left_anti").join(nodes.select("id", "label", "source_file"), "id")
     out += [f"  ⋯{x.relation}→ {x.label} ({x.source_file}, by naming)" for x in linked.orderBy("relation", "id").limit(LINES).collect()]
-    return out if len(out) > 1 else [*out, "  nothing depends on it"]
+    return out if len(out) > least else [*out, "  nothing depends on it"]
 
 
 def trace(name: str, nodes: DataFrame, edges: DataFrame, source: str, target: str = "", max_hops: int = 4, with_references: bool = False) -> list[str]:
@@ -101,6 +105,11 @@ def trace(name: str, nodes: DataFrame, edges: DataFrame, source: str, target: st
     return out + tree(a.id, a.label, rows) + (["  (cut; narrow the symbol or the hops)"] if rows[0].truncated else [])
 
 
+def snippets(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """id, lines: the source lines of each node whose file is known."""
+    return nodes.join(files, "source_file").select("id", E.snippet(F.col("lines"), F.col("source_location")).alias("lines"))
+
+
 def explain(name: str, nodes: DataFrame, edges: DataFrame, symbol: str, neighbours: int = 10, files: DataFrame | None = None) -> list[str]:
     """A symbol's definition, snippet, neighbours and its file's imports. files: source_file, lines."""
     r = graph.resolve(nodes, edges, symbol).first()
@@ -131,14 +140,21 @@ def pairs(name: str, nodes: DataFrame, found: DataFrame, limit: int = 20) -> lis
     return [f"[{name}] {count.n} pairs, {count.literal} literal", *[f"  {r.a_at} ~ {r.b_at}: distance {r.dist:.4f}, Jaccard {r.jaccard:.2f}{' literal' if r.literal else ''}" for r in rows], *([f"  (+{more} more)"] if more else []), *histogram(found)]
 
 
-def clusters(name: str, found: DataFrame, limit: int = 20) -> list[str]:
-    """Clusters by score, then component."""
+def clusters(name: str, found: DataFrame, limit: int = 20, members: DataFrame | None = None, most: int = 10) -> list[str]:
+    """Clusters by score, then component; with members (see dupes.members()) the first ones of each."""
     count = found.agg(F.count("*").alias("n"), F.count_if("literal").alias("literal")).first()
     rows = found.orderBy(F.desc("score"), "component").limit(limit).collect()
     kind = lambda r: "contract" if r.contract else "same name" if r.shared_name else "literal" if r.literal else "semantic"
-    out = [f"[{name}] {count.n} clusters, {count.literal} literal"] + [f"  {r.component}: {r.size} members, distance {r.min_dist:.4f} to {r.max_dist:.4f}, Jaccard {r.max_jaccard:.2f}, {kind(r)}" for r in rows]
+    who: dict[str, list[str]] = {}
+    if members is not None and rows:
+        for m in members.where(F.col("component").isin([r.component for r in rows]) & (F.col("place") <= most)).orderBy("component", "place").collect():
+            who.setdefault(m.component, []).append(f"      {m.label} ({m.source_file}:{m.source_location})")
+    out = [f"[{name}] {count.n} clusters, {count.literal} literal"]
+    for r in rows:
+        out += [f"  {r.component}: {r.size} members, distance {r.min_dist:.4f} to {r.max_dist:.4f}, Jaccard {r.max_jaccard:.2f}, {kind(r)}", *who.get(r.component, [])]
     return out + ([f"  (+{count.n - len(rows)} more)"] if count.n > len(rows) else []) + histogram(found.select(F.col("min_dist").alias("dist")))
 
 
 def similar(name: str, symbol: str, rows: DataFrame) -> list[str]:
-    return [f"[{name}] similar to {symbol}"] + [f"  {r.label}: distance {r.dist:.4f}" for r in rows.limit(LINES).collect()]
+    found = [f"  {r.label} ({r.source_file}): distance {r.dist:.4f}, Jaccard {r.jaccard:.2f}{' literal' if r.jaccard >= V.LITERAL else ''}" for r in rows.limit(LINES).collect()]
+    return [f"[{name}] similar to {symbol}", *(found or ["  nothing near enough"])]

@@ -14,6 +14,12 @@ def qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file, a folder or a match of a pattern is there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p))
+
+
 def source_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """source_file (below root), sha (SHA-1 of the bytes), lines. Bytes that aren't UTF-8 are left out."""
     base = qualified(spark, root).rstrip("/")

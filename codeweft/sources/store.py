@@ -5,6 +5,7 @@ All lies below one folder that driver and executors share, reached through Hadoo
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 
@@ -12,8 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeweft.functions import exprs as E
+from codeweft.operators import search as S
 
 VECTOR = "hash string, embedding array<float>"
+#: Seconds between a holder's signs of life, and without one until a lock counts as left behind.
+BEAT, STALE = 10.0, 60.0
+
+
+def _given(values: dict) -> dict:
+    return {k: v for k, v in values.items() if v is not None}
 
 
 class Store:
@@ -21,6 +29,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._fs = spark.sparkContext._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._owner, self._held, self._beat = uuid.uuid4().hex, set(), None
 
     # Small files ---------------------------------------------------------------------------------------------
 
@@ -61,20 +70,32 @@ class Store:
     def _save(self, kind: str, value: dict) -> None:
         self._write(f"{kind}.json", json.dumps(value, indent=1, sort_keys=True))
 
+    def _change(self, kind: str, f) -> dict:
+        """Replaces a state by f of it. One writer at a time, so that none undoes what another wrote."""
+        if not self.lock(f"state-{kind}", wait=60):
+            raise TimeoutError(f"{kind} stays locked")
+        try:
+            out = f(self.state(kind))
+            self._save(kind, out)
+            return out
+        finally:
+            self.unlock(f"state-{kind}")
+
     def register(self, name: str, root: str) -> None:
-        known = self.state("registry")
-        if known.get(name, root) != root:
-            raise ValueError(f"graph {name!r} is registered for {known[name]!r}")
-        self._save("registry", known | {name: root})
+        def add(known: dict) -> dict:
+            if known.get(name, root) != root:
+                raise ValueError(f"graph {name!r} is registered for {known[name]!r}")
+            return known | {name: root}
+
+        self._change("registry", add)
 
     def update_config(self, **values) -> dict:
         """Merges; None leaves a value as it is."""
-        out = self.state("config") | {k: v for k, v in values.items() if v is not None}
-        self._save("config", out)
-        return out
+        return self._change("config", lambda known: known | _given(values))
 
     def save_meta(self, name: str, **values) -> None:
-        self._save("meta", self.state("meta") | {name: {k: v for k, v in values.items() if v is not None}})
+        """Merges into the graph's entry; None leaves a value as it is."""
+        self._change("meta", lambda known: known | {name: known.get(name, {}) | _given(values)})
 
     # Graphs --------------------------------------------------------------------------------------------------
 
@@ -86,6 +107,9 @@ class Store:
         at = f"{self.root}/graphs/{name}/{version}"
         nodes.write.parquet(f"{at}/nodes")
         edges.write.parquet(f"{at}/edges")
+        if "text" in nodes.columns:
+            words = S.postings(self.spark.read.parquet(f"{at}/nodes").select("id", "text")).withColumn("bucket", S.bucket_of(F.col("term")))
+            words.repartition("bucket").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{at}/postings")
         was = self._read(f"graphs/{name}/current")
         counts = tuple(self.spark.read.parquet(f"{at}/{t}").count() for t in ("nodes", "edges"))
         self._write(f"graphs/{name}/current", version)
@@ -101,6 +125,14 @@ class Store:
             raise KeyError(f"no graph {name!r}")
         return tuple(self.spark.read.parquet(f"{self.root}/graphs/{name}/{version}/{t}") for t in ("nodes", "edges"))
 
+    def postings(self, name: str) -> DataFrame | None:
+        """term, id, tf and bucket (the folder) of the graph's texts, for search.lexical(); None for a graph without."""
+        version = self._read(f"graphs/{name}/current")
+        at = f"graphs/{name}/{version}/postings"
+        if version is None or not self._exists(at):
+            return None
+        return self.spark.read.schema("term string, id string, tf long, bucket int").parquet(f"{self.root}/{at}")
+
     def graphs(self) -> DataFrame:
         """graph, path (null if not registered), by name."""
         fs, folder = self._path("graphs")
@@ -132,29 +164,89 @@ class Store:
 
     # Locks ---------------------------------------------------------------------------------------------------
 
-    def lock(self, name: str, wait: float = 0.0) -> bool:
-        """Takes a lock, waiting so many seconds. A file that only one can create."""
+    def lock(self, name: str, wait: float = 0.0, stale: float = STALE) -> bool:
+        """Takes a lock, waiting so many seconds: a file that only one can create, with its owner in it. The holder gives
+        signs of life by the file's time; without one for `stale` seconds the lock counts as left behind by a process
+        that has died, and is taken over."""
         fs, path = self._path(f"locks/{name}")
-        until = time.time() + wait
+        until, misses = time.time() + wait, 0
         while True:
             try:
-                fs.create(path, False).close()
+                out = fs.create(path, False)
+                out.write(bytearray(self._owner.encode()))
+                out.close()
+                self._held.add(name)
+                self._keep_alive()
                 return True
             except Exception:  # noqa: BLE001 - py4j wraps FileAlreadyExistsException
-                if not fs.exists(path):
+                misses += not fs.exists(path)  # released just now, or it can't be made at all
+                if misses > 20:
                     raise
-            if time.time() >= until:
+            self._take_away(name, stale)
+            if time.time() >= until and fs.exists(path):
                 return False
-            time.sleep(0.2)
+            time.sleep(0.05)
 
-    def unlock(self, name: str) -> None:
+    def _age(self, name: str) -> float:
+        """Seconds since the holder's last sign, by the file system's own clock."""
         fs, path = self._path(f"locks/{name}")
-        fs.delete(path, False)
+        _, probe = self._path(f"locks/.now-{uuid.uuid4().hex}")
+        try:
+            fs.create(probe, False).close()
+            return (fs.getFileStatus(probe).getModificationTime() - fs.getFileStatus(path).getModificationTime()) / 1000
+        except Exception:  # noqa: BLE001 - it went meanwhile
+            return 0.0
+        finally:
+            fs.delete(probe, False)
+
+    def _take_away(self, name: str, stale: float) -> None:
+        """Removes a lock left behind: by a rename, which one of several succeeds with. A lock that proves to be
+        another one, taken meanwhile, goes back."""
+        if self._age(name) <= stale:
+            return
+        fs, path = self._path(f"locks/{name}")
+        was, aside = self._read(f"locks/{name}"), self._path(f"locks/{name}.{uuid.uuid4().hex}")[1]
+        try:
+            if not fs.rename(path, aside):
+                return
+        except Exception:  # noqa: BLE001 - it went meanwhile
+            return
+        if self._read(f"locks/{aside.getName()}") != was:
+            fs.rename(aside, path)
+        else:
+            fs.delete(aside, False)
+
+    def _keep_alive(self) -> None:
+        if self._beat is not None and self._beat.is_alive():
+            return
+
+        def beat():
+            while self._held:
+                for name in list(self._held):
+                    fs, path = self._path(f"locks/{name}")
+                    try:
+                        fs.setTimes(path, int(time.time() * 1000), -1)
+                    except Exception:  # noqa: BLE001 - released meanwhile, or the session ends
+                        self._held.discard(name)
+                time.sleep(BEAT)
+
+        self._beat = threading.Thread(target=beat, daemon=True)
+        self._beat.start()
+
+    def unlock(self, name: str) -> None:
+        """Gives up a lock, unless it was taken over meanwhile."""
+        self._held.discard(name)
+        if self._exists(f"locks/{name}") and self._read(f"locks/{name}") == self._owner:
+            fs, path = self._path(f"locks/{name}")
+            fs.delete(path, False)
 
     def request_rerun(self, name: str) -> None:
         """At most one load waits behind the running one."""
         self._write(f"locks/{name}.rerun", "1")
 
+    def pending(self, name: str) -> bool:
+        return self._exists(f"locks/{name}.rerun")
+
     def take_rerun(self, name: str) -> bool:
         fs, path = self._path(f"locks/{name}.rerun")
         return fs.delete(path, False)
