@@ -8,7 +8,7 @@ import pytest
 from codeweft import catalogue
 
 SF = "/root/testdata/sf0.001"
-NAMES = ("label_flags", "logical_neighbours", "degree_stats", "impact_summary", "kind_filter_prod", "rel_map", "resolve_symbols", "neighbors", "bfs_both_2", "convention_canonical", "components", "knn_self_top4", "hybrid_rrf", "eval_metrics", "edge_load_dangling")
+NAMES = ("label_flags", "logical_neighbours", "degree_stats", "impact_summary", "kind_filter_prod", "rel_map", "resolve_symbols", "neighbors", "bfs_both_2", "convention_canonical", "components", "knn_self_top4", "hybrid_rrf", "eval_metrics", "edge_load_dangling", "resolve_one", "similar_symbol", "source_lines", "file_imports", "shortest_path_len", "bridged_route")
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
