@@ -43,8 +43,8 @@ PART = 4 << 20
 
 
 def unit_tokens(model: Gru) -> int:
-    """Two bytes a token and four a parameter: what units write is then a quarter of what they read at most."""
-    return max(UNIT, 8 * len(model.flat()))
+    """Two bytes a token and four a parameter: what units write is then half of what they read at most."""
+    return max(UNIT, 4 * len(model.flat()))
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

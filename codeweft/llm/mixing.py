@@ -7,8 +7,13 @@ seeded-shuffled documents) in the same way, which gives integer quotas per shard
 quota // blocks times, and the rest is a run of blocks from a seeded start, around the end if need be; as the stream
 is shuffled, that is a random choice that cuts two documents of a shard at most.
 
-Defined results: null text counts no words and takes none; a null source is a source of its own; rows equal in id and
-text are interchangeable; an empty table gives no rows; other columns don't matter.
+The plan of the sources is made in one task with a row for each source, that of a source's shards in one task with a
+row for each shard (MOST at most); documents are never gathered: a window ranks those of one shard.
+
+Defined results: null or empty text counts no words and takes none (a mix has no row of it); a null source is a source
+of its own; rows equal in id and text are interchangeable and each counts; equal quotients go to the earlier source or
+shard; a very long text is a document like others, cut where a block ends; an empty table gives no rows; other columns,
+whatever their names, don't matter and are kept in the mix.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from codeweft.llm.common import SPACED, hash_share, materialise, numbered, packe
 WEIGHTS = (3, 1, 2)
 SHARE, REPEATS = 1.5, 2
 SEED = "mix-1"
+GAP = r"[\x20\x09-\x0D]*"
 #: A block has 1/400 of the smallest target, at most BLOCK words. A shard has about SHARD words; a source has MOST shards at most.
-FINE, BLOCK, SHARD, MOST = 400, 1024, 1 << 18, 4096
+FINE, BLOCK, SHARD, MOST = 400, 1024, 1 << 18, 1 << 16
 
 
 def water_fill(sizes: np.ndarray, weights: np.ndarray, total: float, caps: np.ndarray) -> np.ndarray:
@@ -130,14 +136,16 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """The mix itself, with the columns of docs: each complete copy is a row, each piece a row with those words only."""
+    """The mix itself, with the columns of docs: each complete copy is a row, each piece a row with those words only and
+    the white space between them. n_chars, if there, is that of the piece."""
     plan = numbered(mix(docs, seed).where("taken > 0").select("row_key", "whole", "pieces"), "row_key", "copy")
     rows = docs.select(row_hash(F.col("doc_id"), F.col("text"), seed).alias("row_key"), packed(docs).alias("row"))
     joined = numbered(rows, "row_key", "copy").join(plan, ["row_key", "copy"])
     none = F.struct(F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("to"))
     parts = joined.withColumn("part", F.explode(F.concat(F.array_repeat(none, F.col("whole").cast("int")), F.col("pieces"))))
-    words = F.regexp_extract_all(F.col("row.text"), F.lit(SPACED), F.lit(0))
-    cut = F.when(F.col("part.from").isNull(), F.col("row.text")).otherwise(F.array_join(F.slice(words, (F.col("part.from") + 1).cast("int"), (F.col("part.to") - F.col("part.from")).cast("int")), " "))
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(f"{SPACED}{GAP}"), F.lit(0))  # each with the white space after it
+    some = F.slice(words, (F.col("part.from") + 1).cast("int"), (F.col("part.to") - F.col("part.from")).cast("int"))
+    cut = F.when(F.col("part.from").isNull(), F.col("row.text")).otherwise(F.rtrim(F.array_join(some, ""), F.lit(" \t\n\x0b\x0c\r")))
     out = parts.withColumn("cut", cut)
     made = {"text": F.col("cut")}
     if "n_chars" in docs.columns:

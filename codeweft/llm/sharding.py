@@ -7,8 +7,13 @@ has the mixture of the whole. The order is cut into runs whose lengths differ by
 The ranks are found without a global sort or a window over a whole stratum: rows fall into hash ranges, small tables
 of counts give each range its offset, and windows only rank the rows of a range.
 
-Defined results: null ids, texts and sources are kept (a null source is a stratum of its own; a null text has size 1);
-rows equal in id and text are interchangeable; an empty table gives no rows; other columns don't matter.
+The running offsets of the ranges are summed by one task for each stratum, and by one for all: a row for each
+RANGE_ROWS rows of the input.
+
+Defined results: null ids, texts and sources are kept (a null source is a stratum of its own; a null or empty text has
+size 1); equal fractions are ordered by stratum, then hash; rows equal in id and text are interchangeable and each has
+its place; the length of a text doesn't matter; an empty table gives no rows; other columns, whatever their names, are
+kept.
 """
 
 from __future__ import annotations
