@@ -1,23 +1,28 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
-A rule is a license name (a regex over words that begins with the name's keyword) in a template (a regex over the words
-before it): NAMES times TEMPLATES gives hundreds of rules. IDENTIFIERS are names that count after the templates of
-IDENTIFIED only, since they are common words elsewhere. Rules are gated twice: a text is looked at only if it contains
-a term of GATE (each rule's match has one), and a name's regex runs only where its keyword stands, on the LEFT words
+A rule is a license name, or a sentence of its text (a regex over words that begins with a keyword), in a template (a
+regex over the words before it, which sets priority and confidence). NAMES holds two hundred of them; IDENTIFIERS are
+further names that count after the templates of IDENTIFIED only, since they are common words elsewhere. Rules are gated twice: a text is looked at only if it contains
+the words of an entry of GATE (each rule's match has those of one), and a name's regex runs only where its keyword stands, on the LEFT words
 before and the RIGHT words from there. The regexes see lower-cased words joined by single spaces, so line breaks and punctuation don't matter.
 
 A detection is an interval of words with its rule's priority (1 is best) and confidence. It is suppressed if it lies
 inside the interval of a better priority, or inside a longer one of its own priority; the rest give the labels.
 Base phrases (BASE) always keep their labels. No interval is longer than LEFT + RIGHT words, so a detection is compared
-with its neighbours in sorted order only.
+with its neighbours in sorted order only (_AROUND: as many as there can be).
 
-All work is done within a row: no shuffle, and equal texts or ids need no care. Defined results: null or empty text
-has no words, no labels ('' and '') and score 0; other columns don't matter.
+All work is done within a row: no shuffle, and equal texts, repeated rows or ids need no care. Defined results: null or
+empty text has no words, no labels ('' and '') and score 0; equal detections (of one interval, priority, label and
+score) count once, and of two that hold each other at one priority both stay; a very long text is scanned whole; an
+empty table gives no rows; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +67,38 @@ NAMES = (
     ("ipl", "ibm", f"ibm public{_L}"), ("qpl", "q", f"q public{_L}"), ("sleepycat", "sleepycat", f"sleepycat{_L}"), ("zpl", "zope", f"zope public{_L}"), ("intel", "intel", f"intel open source{_L}"),
     ("all-rights-reserved", "all", "all rights reserved"), ("proprietary", "proprietary", "proprietary and confidential"), ("proprietary", "proprietary", f"proprietary{_L}"),
     ("public-domain", "public", "public domain"), ("commercial", "commercial", f"commercial{_L}"),
+    ("aladdin", "aladdin", f"aladdin free public{_L}"), ("apl", "adaptive", f"adaptive public{_L}"), ("aal", "attribution", f"attribution assurance{_L}"), ("bittorrent", "bittorrent", f"bittorrent open source{_L}"),
+    ("bouncycastle", "bouncy", f"bouncy castle{_L}"), ("cnri", "cnri", f"cnri(?: python| jython)?(?: open source)?{_L}"), ("cua", "cua", f"cua office public{_L}"), ("condor", "condor", f"condor public{_L}"),
+    ("ecl", "educational", f"educational community{_L}{_V}(?: [12] 0)?"), ("efl", "eiffel", f"eiffel forum{_L}{_V}(?: [12])?"), ("entessa", "entessa", f"entessa public{_L}"), ("eudatagrid", "eu", f"eu datagrid(?: software)?{_L}"),
+    ("fair", "fair", f"fair{_L}"), ("frameworx", "frameworx", f"frameworx(?: open)?{_L}"), ("ftl", "freetype", f"freetype(?: project)?{_L}"), ("gl2ps", "gl2ps", f"gl2ps{_L}"), ("hpnd", "historical", "historical permission notice and disclaimer"),
+    ("icu", "icu", f"icu{_L}"), ("ijg", "independent", f"independent jpeg group(?: s)?{_L}"), ("imagemagick", "imagemagick", f"imagemagick{_L}"), ("info-zip", "info", f"info zip{_L}"), ("ipa", "ipa", f"ipa font{_L}"),
+    ("jasper", "jasper", f"jasper{_L}"), ("libtiff", "libtiff", f"libtiff{_L}"), ("lpl", "lucent", f"lucent public{_L}"), ("miros", "miros", f"miros{_L}"), ("motosoto", "motosoto", f"motosoto(?: open source)?{_L}"),
+    ("mulan-psl", "mulan", f"mulan permissive software{_L}{_V}(?: [12])?"), ("mulan-psl", "mulan", f"mulan psl{_V}(?: ?[12])?"), ("mulan-publ", "mulan", f"mulan public{_L}"), ("multics", "multics", f"multics{_L}"), ("nasa", "nasa", "nasa open source agreement"),
+    ("naumen", "naumen", f"naumen public{_L}"), ("net-snmp", "net", f"net snmp{_L}"), ("netcdf", "netcdf", f"netcdf{_L}"), ("nokia", "nokia", f"nokia open source{_L}"), ("npl", "netscape", f"netscape public{_L}{_V}(?: 1 [01])?"),
+    ("nposl", "non", f"non profit open software{_L}"), ("ntp", "ntp", f"ntp{_L}"), ("oclc", "oclc", f"oclc research public{_L}"), ("ogl", "open", f"open government{_L}{_V}(?: [123] 0)?"), ("ogtsl", "open", f"open group test suite{_L}"),
+    ("oldap", "openldap", f"openldap public{_L}{_V}(?: 2 8)?"), ("opl", "open", f"open publication{_L}"), ("parity", "parity", f"parity public{_L}"), ("polyform", "polyform", f"polyform (?:noncommercial|small business|shield|strict|free trial){_L}"),
+    ("rpl", "reciprocal", f"reciprocal public{_L}"), ("rpsl", "realnetworks", f"realnetworks public source{_L}"), ("rscpl", "ricoh", f"ricoh source code public{_L}"), ("sgi-b", "sgi", f"sgi free software{_L}(?: b)?"),
+    ("simpl", "simple", f"simple public{_L}"), ("sissl", "sun", f"sun industry standards source{_L}"), ("spl", "sun", f"sun public{_L}"), ("smlnj", "standard", f"standard ml of new jersey{_L}"), ("tcl", "tcl", f"tcl(?: tk)?{_L}"),
+    ("unicode", "unicode", f"unicode{_L}"), ("vsl", "vovida", f"vovida software{_L}"), ("watcom", "sybase", f"sybase open watcom public{_L}"), ("xerox", "xerox", f"xerox{_L}"), ("xfree86", "xfree86", f"xfree86{_L}"), ("xnet", "xnet", f"xnet{_L}"),
+    ("ypl", "yahoo", f"yahoo public{_L}"), ("zend", "zend", f"zend(?: engine)?{_L}"), ("zimbra", "zimbra", f"zimbra public{_L}"), ("commons-clause", "commons", "commons clause"), ("hippocratic", "hippocratic", f"hippocratic{_L}"),
+    ("anti-996", "anti", f"anti 996{_L}"), ("llama", "llama", f"llama(?: [234])?(?: [0-9])? community{_L}"), ("openrail", "openrail", "openrail(?: m)?"), ("free-art", "free", f"free art{_L}"), ("etalab", "etalab", f"etalab(?: open)?{_L}"),
+    ("cern-ohl", "cern", f"cern open hardware{_L}"), ("solderpad", "solderpad", f"solderpad(?: hardware)?{_L}"), ("tapr-ohl", "tapr", f"tapr open hardware{_L}"), ("dfsl", "german", f"german free software{_L}"), ("gust", "gust", f"gust font{_L}"),
+    ("bitstream", "bitstream", f"bitstream vera(?: fonts?)?{_L}"), ("ubuntu-font", "ubuntu", f"ubuntu font{_L}"), ("freebsd-doc", "freebsd", f"freebsd documentation{_L}"), ("ldp", "linux", f"linux documentation project{_L}"),
+    ("dsl", "design", f"design science{_L}"), ("odc-by", "open", f"open data commons attribution{_L}"), ("cdla", "community", f"community data{_L} agreement"), ("o-uda", "open", "open use of data agreement"), ("c-uda", "computational", "computational use of data agreement"),
+    ("nist", "nist", f"nist(?: software)?{_L}"), ("imatix", "imatix", f"imatix(?: standard function library)?{_L}"), ("erlang", "erlang", f"erlang public{_L}"), ("interbase", "interbase", f"interbase public{_L}"), ("idpl", "initial", f"initial developer(?: s)? public{_L}"),
+    ("sugarcrm", "sugarcrm", f"sugarcrm public{_L}"), ("llvm-exception", "llvm", "llvm exceptions?"), ("classpath-exception", "classpath", "classpath exception"), ("gcc-exception", "gcc", "gcc runtime library exception"), ("perl", "same", "same terms as perl(?: itself)?"),
+    # sentences of the licenses' own texts
+    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"), ("boost", "permission", "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("isc", "permission", "permission to use copy modify and(?: or)? distribute this software for any purpose"), ("gpl", "redistribute", "redistribute it and or modify it under the terms of the gnu general public"),
+    ("lgpl", "redistribute", "redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public"), ("agpl", "redistribute", "redistribute it and or modify it under the terms of the gnu affero general public"),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"), ("bsd", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "neither", "neither the name of(?: [a-z0-9]+){1,6} nor the names of its contributors"), ("zlib", "altered", "altered source versions must be plainly marked as such"), ("zlib", "misrepresented", "misrepresented as being the original software"),
+    ("unlicense", "unencumbered", "unencumbered software released into the public domain"), ("wtfpl", "do", "do what the fuck you want to"), ("cc0", "waived", "waived all copyright and related or neighboring rights"),
+    ("apache", "unless", "unless required by applicable law or agreed to in writing software distributed under the"), ("mpl", "source", "source code form is subject to the terms of the mozilla public"),
+    ("epl", "accompanying", "accompanying materials are made available under the terms of the eclipse public"), ("hpnd", "appear", "appear in supporting documentation"), ("x11", "except", "except as contained in this notice the name of"),
+    ("openssl", "developed", "developed by the openssl project for use in the openssl toolkit"), ("ofl", "reserved", "reserved font name"), ("artistic", "standard", "standard version of the package"), ("public-domain", "dedicated", "dedicated to the public domain"),
+    ("public-domain", "placed", "placed in(?:to)? the public domain"), ("proprietary", "unauthorized", "unauthorized (?:copying|reproduction|distribution|use)(?: [a-z]+){0,6} prohibited"),
+    ("all-rights-reserved", "no", "no part of this (?:publication|document|software|book) may be reproduced"), ("cc-by-sa", "attribution", "attribution share ?alike [1234] 0 international"), ("cc-by", "attribution", "attribution [1234] 0 international"),
 )
 #: (priority, confidence, regex that the words before the name end with)
 TEMPLATES = (
@@ -85,17 +122,23 @@ IDENTIFIED = (TEMPLATES[0], (2, 0.97, "(?:dual )?licen[cs]ed (?:to you )?under(?
 KEYWORDS = tuple(sorted({k for _, k, _ in NAMES + IDENTIFIERS}))
 
 
-def _needed(name: str) -> str:
-    """The longest word that each match of a name's regex holds, whole or as the beginning of a word."""
-    rest = name.replace(_L + "?", " ").replace(_L, " licen ")
-    while (less := re.sub(r"\(\?:[^()]*\)\??", " ", rest)) != rest:
+def _needed(name: str) -> tuple[str, ...]:
+    """Words that each match of a name's regex holds, whole or as the beginning of a word: that for license, which many
+    share, or the three longest."""
+    if _L in name.replace(_L + "?", ""):
+        return ("licen",)
+    rest = re.sub(r"\[[^]]*\]", " ", name.replace(_L + "?", " "))
+    while (less := re.sub(r"\(\?:[^()]*\)(?:\?|\{\d,\d\})?|. ?\?", " ", rest)) != rest:
         rest = less
-    return max(re.findall("[a-z0-9]+", rest), key=len)
+    return tuple(sorted(dict.fromkeys(re.findall("[a-z][a-z0-9]+|[0-9][a-z0-9]+", rest)), key=lambda w: (-len(w), w))[:3])
 
 
-#: IDENTIFIERS need none of their own: their templates hold the word license or licensed.
-GATE = tuple(sorted({"licen", *(_needed(name) for _, _, name in NAMES)}))
-_AROUND = 2 * (LEFT + RIGHT) * len(TEMPLATES) * 4
+#: A text without all words of any of these can't match. IDENTIFIERS need none of their own: their templates hold the
+#: word license or licensed.
+GATE = tuple(sorted({("licen",), *(_needed(name) for _, _, name in NAMES)}))
+#: Detections that may hold another begin within LEFT + RIGHT words before it, so their anchors stand within LEFT words
+#: more; an anchor is one keyword, with as many detections as names of it times templates. That many neighbours do.
+_AROUND = (2 * LEFT + RIGHT + 1) * max(Counter(k for _, k, _ in NAMES + IDENTIFIERS).values()) * len(TEMPLATES)
 
 
 def _count(s: Column) -> Column:
@@ -138,7 +181,8 @@ def _detections(words: Column) -> Column:
 def _unsuppressed(found: Column) -> Column:
     size = lambda d: -d["minus_end"] - d["start"]
     over = lambda e, d: (e["start"] <= d["start"]) & (e["minus_end"] <= d["minus_end"]) & ((e["priority"] < d["priority"]) | ((e["priority"] == d["priority"]) & (size(e) > size(d))))
-    return F.filter(found, lambda d, i: ~F.exists(F.slice(found, F.greatest(i + 1 - _AROUND, F.lit(1)), F.lit(2 * _AROUND)), lambda e: over(e, d)))
+    # in sorted order, what holds a detection comes before it
+    return F.filter(found, lambda d, i: ~F.exists(F.slice(found, F.greatest(i + 1 - _AROUND, F.lit(1)), F.least(i, F.lit(_AROUND))), lambda e: over(e, d)))
 
 
 def _base(words: Column) -> Column:
@@ -165,8 +209,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     end, priority, label, score)."""
     low = F.lower(F.col(text))
     gate = F.lit(False)
-    for term in GATE:
-        gate = gate | low.contains(term)
+    for terms in GATE:
+        gate = gate | reduce(and_, (low.contains(t) for t in terms))
     gate = F.coalesce(gate, F.lit(False))
     words, all_, base = (free_name(docs, c) for c in ("__words", "__all", "__base"))
     out = docs.withColumn(words, F.when(gate, alnum_words(F.col(text))))

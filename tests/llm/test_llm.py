@@ -280,3 +280,68 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
+
+
+def shortest(pattern: str) -> str:
+    """A short text that a regex matches."""
+
+    def of(parsed) -> str:
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])
+            elif name == "MAX_REPEAT":
+                out += of(arg[2]) * arg[0]
+            elif name == "SUBPATTERN":
+                out += of(arg[3])
+            elif name == "BRANCH":
+                out += of(arg[1][0])
+            else:
+                raise ValueError(name)
+        return out
+
+    return of(re._parser.parse(pattern))
+
+
+def test_license_rules_pass_their_gate(spark, monkeypatch):
+    """Every name, shortest and in full, alone and in each template, with the gate and without."""
+    names = [(label, shortest(x)) for label, _, x in license_scan.NAMES for x in (x, x.replace(")?", ")").replace("{0,6}", "{1,6}"))]
+    texts = [t for _, t in names] + [f"{shortest(before)} {t}" for _, _, before in license_scan.TEMPLATES[:2] for _, t in names]
+    texts += [f"{shortest(before)} {shortest(x)}" for _, _, before in license_scan.IDENTIFIED for _, _, x in license_scan.IDENTIFIERS]
+    labels = [x for x, _ in names] * 3 + [x for x, _, _ in license_scan.IDENTIFIERS] * 2
+    df = spark.createDataFrame([(i, f"Zebra {t.title()}, zebra.") for i, t in enumerate(texts)], "i int, text string").repartition(8)
+    found = lambda: {r.i: r.scan.found or [] for r in license_scan.scan(df).select("i", "scan").collect()}
+    gated = found()
+    assert [t for i, t in enumerate(texts) if not gated[i]] == []
+    # a name that lies within another is suppressed, so not every label stays; one that holds all its words does
+    assert np.mean([labels[i] in {d.label for d in gated[i]} for i in range(len(texts))]) > 0.95
+    monkeypatch.setattr(license_scan, "GATE", (("",),))
+    assert found() == gated
+    assert len(license_scan.NAMES) + len(license_scan.IDENTIFIERS) + len(license_scan.TEMPLATES) > 250
+
+
+def test_license_base_and_suppression_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pool = ["MIT", "license", "Licence", "apache", "general", "public", "gnu", "lesser", "v2", "the", "under", "licensed", "2", "0", "bsd", "3", "clause", "mozilla", "cat"]
+    texts = [" ".join(pool[i] for i in rng.integers(0, len(pool), rng.integers(0, 60))) for _ in range(150)] + [None, "", "mit\n\tLICENSE, general-public license"]
+    rows = [r.scan for r in license_scan.scan(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    for t, r in zip(texts, rows):
+        w = words(t)
+        base = sorted((i, label) for phrase, label in license_scan.BASE.items() for i in range(len(w)) if w[i : i + phrase.count(" ") + 1] == phrase.split())
+        assert r.n_words == len(w) and sorted((b.start, b.label) for b in r.base) == base
+        every = set()
+        for i, x in enumerate(w):
+            left, right = " ".join(w[max(0, i - license_scan.LEFT) : i]), " ".join(w[i : i + license_scan.RIGHT])
+            for names, templates in ((license_scan.NAMES, license_scan.TEMPLATES), (license_scan.IDENTIFIERS, license_scan.IDENTIFIED)):
+                for label, key, name in names:
+                    m = re.match(f"(?:{name})(?= |$)", right) if key == x else None
+                    for p, score, before in templates if m else ():
+                        b = re.search(f"(?:^| )({before})$", left) if before else None
+                        if b or not before:
+                            start = i - (len(b[1].split()) if b else 0)
+                            every.add((start, i + len(m[0].split()), p, label, score))
+        kept = {d for d in every if not any(e[0] <= d[0] and e[1] >= d[1] and (e[2] < d[2] or (e[2] == d[2] and e[1] - e[0] > d[1] - d[0])) for e in every)}
+        assert {tuple(d) for d in r.found or []} == kept
