@@ -14,8 +14,10 @@ blocks of BLOCK, so that what is broadcast stays bounded for any benchmark. Resu
 (copies add nothing) and joined back to the documents.
 
 Defined results: null or empty text has no words, hits or items, and the digest of the empty string; items without
-words have no windows; equal items count by item_id; a null item_id counts as no item; an empty benchmark or document
-table works; other columns don't matter.
+words have no windows; equal items count by item_id; a null item_id counts as no item; repeated documents are judged
+each and alike; shingles of equal rarity are taken by place, then hash; a very long text is searched whole; an empty
+benchmark leaves all documents clean, an empty document table gives no rows; other columns, whatever their names, are
+kept.
 """
 
 from __future__ import annotations

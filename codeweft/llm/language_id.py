@@ -5,10 +5,14 @@ other ASCII read as one gap) predicts each bit. Codewords are drawn from a fixed
 between two is large. Decoding adds up each bit's logistic loss for each codeword, weighted by how reliable the bit was
 on a validation part of the sample, and takes the least; `ambiguous` marks a runner-up that is nearly as close.
 
-The classifiers are fitted in numpy on a bounded sample (PER_LANGUAGE rows of each language, by seeded hash).
-
-Defined results: null text or text without a letter is `und` with score 0; if nothing can be learnt all are `und`; ties
-go to the language first in order of code points; equal texts get equal results; other columns don't matter.
+The classifiers are fitted in numpy on a bounded sample: PER_LANGUAGE rows of each language, by seeded hash, but no
+more than SAMPLE rows in all (one of each language at least), so that the driver holds SAMPLE times 32 KB however many
+languages there are.
+
+Defined results: null text or text without a letter is `und` with score 0; if nothing can be learnt all are `und`; with
+one language all text with a letter is of that; ties go to the language first in order of code points; equal texts get
+equal results and repeated rows count each time; a very long text is read whole, by counts of n-grams; an empty table
+gives no rows; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from codeweft.llm.common import chunks, fold, free_name, labelled_sample, remainder, table
 
-PER_LANGUAGE, SEED = 800, "language-1"
+#: Rows of each language, and of all: with more languages each has fewer.
+PER_LANGUAGE, SAMPLE, SEED = 800, 6400, "language-1"
 BITS, GRAMS = 12, (2, 3)
 MARGIN = 0.15
 _letters = np.full(256, 32, np.uint8)
@@ -54,6 +59,12 @@ def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-9)
 
 
+def _counted(data: np.ndarray, offsets: np.ndarray, at: int, rows: int = 256) -> np.ndarray:
+    """gram_counts() of some rows of a chunk."""
+    cut = offsets[at : at + rows + 1]
+    return gram_counts(data[cut[0] : cut[-1]], cut - cut[0])
+
+
 def codebook(n: int) -> np.ndarray:
     """n codewords of -1 and 1, of 3 log2 n + 4 bits at least: the best of many seeded draws by least distance."""
     bits = 3 * max(1, int(np.ceil(np.log2(max(n, 2))))) + 4
@@ -108,12 +119,13 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Coder:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Coder | None:
     """docs: doc_id, text, lang. None if no row has a language and text."""
     known = docs.where("lang is not null")
-    sample = labelled_sample(known.select("doc_id", "lang"), "lang", per_language, SEED)
+    languages = max(1, known.select("lang").distinct().count())
+    sample = labelled_sample(known.select("doc_id", "lang"), "lang", max(1, min(per_language, SAMPLE // languages)), SEED)
     dims = len(GRAMS) << BITS
 
     @F.arrow_udf("binary")
     def grams(texts: pa.Array) -> pa.Array:
-        return pa.array([r.tobytes() for _, _, data, offsets in chunks(texts) for r in gram_counts(data, offsets).astype(np.float16)], pa.binary())
+        return pa.array([r.tobytes() for _, n, data, offsets in chunks(texts) for at in range(0, n, 256) for r in _counted(data, offsets, at).astype(np.float16)], pa.binary())
 
     got = known.join(F.broadcast(sample), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("y"))).select("id", "y", grams("text").alias("g")).toArrow()
     if not got.num_rows:
@@ -133,8 +145,8 @@ def predicted(docs: DataFrame, model: Coder | None) -> DataFrame:
         lang, score, unsure = [], [], []
         for _, n, data, offsets in chunks(texts, 1 << 20):
             for at in range(0, n, 256):
-                cut = offsets[at : at + 257]
-                k, p, a = model.decode(gram_counts(data[cut[0] : cut[-1]], cut - cut[0])) if model else (np.zeros(len(cut) - 1, int), np.zeros(len(cut) - 1), np.ones(len(cut) - 1, bool))
+                m = min(256, n - at)
+                k, p, a = model.decode(_counted(data, offsets, at)) if model else (np.zeros(m, int), np.zeros(m), np.ones(m, bool))
                 lang += [model.languages[i] if model else "und" for i in k]
                 score.append(p)
                 unsure.append(a)

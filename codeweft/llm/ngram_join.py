@@ -18,7 +18,8 @@ times, as each pair has to be looked at.
 
 Defined results: null text or text without words has no n-grams: no links, its own class. class_id is the least doc_id
 of the class (null if all are null); n_links counts the other documents with similarity of at least the threshold,
-copies included. Other columns don't matter.
+copies included. Repeated rows are copies of each other; ties between rows go to the lesser doc_id, then hash; a very
+long text has all its n-grams; an empty table gives no rows; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations

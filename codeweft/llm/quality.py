@@ -5,8 +5,10 @@ a bounded sample of labelled rows (PER_CLASS of each label, by seeded hash) and
 a batch level by level. MONOTONE says in which direction the probability of good quality may move with a feature: a
 split against it is not taken, and child values are kept within the bounds that splits above have set.
 
-Defined results: null or empty text has no words and fails the base rule; without labelled rows of both kinds the
-verdict is the base rule's; equal rows are judged alike; other columns don't matter.
+Defined results: null or empty text has no words and fails the base rule; without labelled rows of both kinds, or with
+an empty label table, the verdict is the base rule's; equal rows are judged alike, and repeated rows of a labelled
+document count each time; of splits of equal gain the first feature and threshold win; a very long text is counted
+whole; an empty table gives no rows; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations

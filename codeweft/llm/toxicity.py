@@ -8,8 +8,10 @@ term and, by the inner products of FACTORS numbers, for each pair of terms, so t
 than the sum of each. It is fitted by AdaGrad in numpy; class weights restore the shares of the labels.
 Every fifth sample row, left out of a first fit, tells how margins are shifted to suit THRESHOLD.
 
-Defined results: null or empty text gets the score of no terms; without labelled rows of both kinds the score is the
-share of toxic labels (0 without any); equal texts score alike; other columns don't matter.
+Defined results: null or empty text gets the score of no terms; without labelled rows of both kinds (an empty label
+table included) the score is the share of toxic labels (0 without any); equal texts score alike, and repeated rows of a
+labelled document count each time; terms of equal ratio or count are taken by hash; a very long text is scored whole, by
+the set of its terms; an empty table gives no rows; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
