@@ -158,5 +158,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing}
-#: Highest quotients are a loop over seats, which SQL can't express; tested against brute force.
-ORACLES: dict[str, str] = {}
+
+#: Seats by ranking all quotients that caps allow, where the operator finds a divisor first: for small tables.
+ORACLES = {
+    "op1_mixing": rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS BIGINT) AS size, md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(md5(text), '~'))) AS k FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS words, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, row_number() OVER (ORDER BY source NULLS LAST) AS o FROM d GROUP BY source),
+-- targets: those whose cap is least for their weight stop first
+fill AS (SELECT *, coalesce(sum(2.0 * words) OVER f, 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER f, 0) AS open_, sum(words) OVER () * CAST(1.5 AS DOUBLE) AS total FROM src WINDOW f AS (ORDER BY words * 2.0 / w, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+stop AS (SELECT *, (total - capped) * w / open_ >= 2.0 * words AS over_ FROM fill),
+flow AS (SELECT *, bool_and(over_) OVER (ORDER BY words * 2.0 / w, o) AS stops FROM stop),
+level AS (SELECT any_value(total) - coalesce(sum(2.0 * words) FILTER (stops), 0) AS rest, sum(w) FILTER (NOT stops) AS open_w FROM flow),
+tgt AS (SELECT source, words, o, CAST(CASE WHEN stops THEN 2.0 * words ELSE rest * w / open_w END AS DOUBLE) AS target FROM flow, level),
+blk AS (SELECT CAST(least(greatest(floor(min(target) FILTER (target > 0) / {FINE}), 1), {BLOCK}) AS BIGINT) AS block, sum(target) AS whole FROM tgt),
+party AS (SELECT t.*, block, CAST(floor(2 * words / block + 0.5) AS BIGINT) AS cap, least(greatest((words + {SHARD - 1}) // {SHARD}, 1), {MOST}) AS shards, CAST(round_even(whole / block, 0) AS BIGINT) AS wanted FROM tgt t, blk),
+won AS (SELECT o FROM (SELECT o, wanted, target, unnest(range(0, cap)) AS s FROM party WHERE target > 0) QUALIFY row_number() OVER (ORDER BY target / (2 * s + 1) DESC, o) <= wanted),
+seat AS (SELECT o, count(*) AS seats FROM won GROUP BY o),
+r AS (SELECT d.*, p.words, p.target, p.block, coalesce(seats, 0) AS seats, p.o, CAST(floor(CAST('0x' || substr(k, 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) * shards) AS INTEGER) AS shard FROM d JOIN party p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN seat s ON s.o = p.o),
+st AS (SELECT o, shard, any_value(source) AS source, sum(size)::BIGINT AS sw, any_value(seats) AS seats, any_value(block) AS block FROM r GROUP BY o, shard),
+bs AS (SELECT *, CASE WHEN sw > 0 THEN greatest(1, CAST(round_even(sw / block, 0) AS BIGINT)) ELSE 0 END AS blocks, CAST('0x' || substr(md5(concat_ws('|', '{SEED}', coalesce(source, '~'), shard)), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS share FROM st),
+got AS (SELECT o, shard FROM (SELECT o, shard, seats, sw, unnest(range(0, 2 * blocks)) AS s FROM bs WHERE sw > 0) QUALIFY row_number() OVER (PARTITION BY o ORDER BY sw / (2 * s + 1) DESC, shard) <= seats),
+q AS (SELECT b.*, greatest(blocks, 1) AS many, coalesce(n, 0) AS quota FROM bs b LEFT JOIN (SELECT o, shard, count(*) AS n FROM got GROUP BY o, shard) g USING (o, shard)),
+e AS (SELECT *, quota // many AS times, CAST(floor(share * many) AS BIGINT) AS a, CAST(floor(share * many) AS BIGINT) + quota % many AS z FROM q),
+cut AS (SELECT o, shard, times, a * sw // many AS lo, least(z, many) * sw // many AS hi, greatest(z - many, 0) * sw // many AS wrap FROM e),
+pl AS (SELECT r.*, sum(size) OVER (PARTITION BY o, shard ORDER BY k ROWS UNBOUNDED PRECEDING) - size AS b FROM r)
+SELECT doc_id, size, words AS source_size, target, CAST(size * times + greatest(0, least(b + size, wrap) - b) + greatest(0, least(b + size, hi) - greatest(b, lo)) AS BIGINT) AS taken, source, shard FROM pl JOIN cut USING (o, shard)
+""",
+}

@@ -234,5 +234,15 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_ngram_join": op7_ngram_join}
-#: All pairs and components of whole tables are too slow in SQL; tested against brute force.
-ORACLES: dict[str, str] = {}
+#: All pairs, by a join on every n-gram: for small tables.
+ORACLES = {
+    "op7_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+p AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS m FROM p a JOIN p b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM m WHERE 5 * m >= 4 * (na + nb - m)),
+c(id, class_id) USING KEY (id) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, min(c.class_id) FROM c JOIN e ON e.a = c.id JOIN recurring.c AS was ON was.id = e.b WHERE c.class_id < was.class_id GROUP BY e.b)
+SELECT s.doc_id, c.class_id, coalesce(l.n, 0) AS n_links, CAST(len(s.g) AS BIGINT) AS n_shingles FROM s JOIN c ON c.id = s.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) l ON l.a = s.doc_id
+""",
+}

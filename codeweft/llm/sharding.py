@@ -89,5 +89,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_sharding": op8_sharding}
-#: text_crc32 is written out bit by bit, as DuckDB has no crc32: too slow on whole texts, so the query is tested against brute force.
-ORACLES: dict[str, str] = {}
+#: DuckDB has no crc32, so it is written out, with a table made from its polynomial.
+ORACLES = {
+    "op8_sharding": f"""
+WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(0, 8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(0, 256) r(i)),
+d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, coalesce(concat('s', source), 'n') AS stratum,
+ list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b,
+ md5(concat_ws('|', '{SEED}', coalesce(CAST(doc_id AS VARCHAR), '~'), coalesce(md5(text), '~'))) AS k FROM documents),
+r AS (SELECT *, CAST(2 * row_number() OVER (PARTITION BY stratum ORDER BY k) - 1 AS DOUBLE) / CAST(2 * count(*) OVER (PARTITION BY stratum) AS DOUBLE) AS f, count(*) OVER () AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY f, stratum, k) - 1 AS place FROM r)
+SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32, 'rows' AS law,
+ CAST(8 * place // n AS INTEGER) AS shard, CAST(place - ((8 * place // n) * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p, tab
+""",
+}
