@@ -19,7 +19,7 @@ from codeweft.llm.toxicity import THRESHOLD, scored
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the factorization machine scores at the threshold or above."""
     out = scored(docs, table(spark, sf_dir, "labels"))
-    return out.where(F.col(out.columns[-1]) < THRESHOLD).select(*docs.columns)
+    return out.where(F.col(out.columns[-1]) < THRESHOLD).drop(out.columns[-1])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
