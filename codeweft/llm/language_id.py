@@ -118,7 +118,7 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str]) -> Coder:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Coder | None:
     """docs: doc_id, text, lang. None if no row has a language and text."""
-    known = docs.where("lang is not null")
+    known = docs.select("doc_id", "text", "lang").where("lang is not null")
     languages = max(1, known.select("lang").distinct().count())
     sample = labelled_sample(known.select("doc_id", "lang"), "lang", max(1, min(per_language, SAMPLE // languages)), SEED)
     dims = len(GRAMS) << BITS

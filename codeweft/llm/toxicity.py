@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from codeweft.llm.common import chunks, fold, free_name, Slots, labelled_sample, prefix_sums, remainder, span_hash, spans, table
 
 PER_CLASS, SEED = 4000, "toxic-1"
-PREFIXES, TERMS, COMMON, LEAST, FACTORS = (5, 6, 7), 4096, 1024, 12.0, 8
+PREFIXES, TERMS, COMMON, LEAST, FACTORS = (5, 6, 7), 4096, 256, 12.0, 8
 EPOCHS, BATCH, RATE, L2 = 40, 256, 0.08, 2e-4
 THRESHOLD = 0.3
 SLOTS = 20
