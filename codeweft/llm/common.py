@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import sys
@@ -44,17 +45,55 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{found}/codeweft-{spark.sparkContext.applicationId}"
 
 
+_made: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts the lineage and survives lost executors.
 
-    The files go when the session's JVM ends."""
+    The files go when the session's JVM ends, or before: see discard() and intermediate()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, target = _hadoop(spark, path)
+    fs.deleteOnExit(target)
+    for made in _made:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialised = path
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, target = _hadoop(spark, path)
+    fs.delete(target, True)
+    fs.cancelDeleteOnExit(target)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of what materialise() returned, once nothing reads them any more. Leaves others alone."""
+    path = getattr(df, "_materialised", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def intermediate(spark: SparkSession):
+    """What is materialised within goes at the end, but for what is passed to the function it gives."""
+    made, kept = [], []
+    _made.append(made)
+    try:
+        yield lambda df: kept.append(df._materialised) or df
+    finally:
+        _made.remove(made)
+        for path in made:
+            if path not in kept:
+                _delete(spark, path)
 
 
 _GAPS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))

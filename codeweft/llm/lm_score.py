@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import Slots, chunks, fold, materialise, prefix_sums, remainder, span_hash, spans, table
+from codeweft.llm.common import Slots, chunks, discard, fold, materialise, prefix_sums, remainder, span_hash, spans, table
 from codeweft.llm.gru import Gru, class_cuts
 
 FREQUENT, SLOTS = 65_000, 21
@@ -38,6 +38,8 @@ ROUNDS, FAN, UNIT = 2, 16, 1 << 20
 RARE = 65_535
 #: Words that a task holds while it counts.
 HELD = 1 << 20
+#: Tokens of a training lane: with windows of 16, a lane's length over 16 updates whatever the unit's size.
+LANE = 2048
 #: Tokens scored at a time; a longer text comes alone.
 PART = 4 << 20
 
@@ -117,8 +119,8 @@ def _learner(flat: np.ndarray, cuts: np.ndarray, hidden: int):
             texts.append(_model_ids(np.frombuffer(ids.as_buffer(), np.uint16), m.n_words))
             held += len(texts[-1])
             if held > 1 << 20:
-                done, texts, held = done + m.train(texts, 512, 16), [], 0
-        done += m.train(texts, 512, 16)
+                done, texts, held = done + m.train(texts, max(8, held // LANE), 16), [], 0
+        done += m.train(texts, max(8, held // LANE), 16)
         return pa.table({"unit": [t["unit"][0].as_py()], "n": [float(done)], "flat": pa.array([m.flat().tobytes()], pa.binary())})
 
     return learn
@@ -141,8 +143,11 @@ def _train(encoded: DataFrame, model: Gru, tokens: int) -> Gru:
         mine, left = rows.where(F.col("round") == r).select("unit", "key", "ids"), units
         got = materialise(mine.groupBy("unit").applyInArrow(_learner(model.flat(), model.cuts, model.hidden), kind), "lm-params")
         while left > 1:
-            got, left = materialise(got.groupBy(F.floor(F.col("unit") / FAN)).applyInArrow(_averaged, kind), "lm-params"), -(-left // FAN)
+            new, left = materialise(got.groupBy(F.floor(F.col("unit") / FAN)).applyInArrow(_averaged, kind), "lm-params"), -(-left // FAN)
+            discard(got)
+            got = new
         one = got.first()
+        discard(got)
         if one is not None:
             model = model.with_flat(np.frombuffer(one["flat"], np.float32))
     return model

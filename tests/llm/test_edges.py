@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeweft.llm import common, decontaminate, language_id, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, sharding, toxicity
+from codeweft.llm import common, decontaminate, gru, language_id, license_scan, line_dedup, lm_score, mixing, ngram_join, quality, sharding, toxicity
 
 SF = "/root/testdata/sf0.001"
 CLASH = ("shard", "slot", "toxicity", "Judged", "language", "scan", "id", "y", "key", "row", "row_key", "copy", "part", "size", "set_id", "class_id", "terms", "words", "gone", "__words", "a.b")
@@ -227,3 +227,54 @@ def test_pipeline_stages_on_edge_cases(spark, docs, labels, benchmark, tmp_path)
             assert out.columns[: len(docs.columns)] == docs.columns and set(kept(out)) <= set(kept(d)), name
     d.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_files_on_the_way_go(spark):
+    from pathlib import Path
+
+    folder = Path(common.shared_dir(spark))
+    count = lambda: {p.name for p in folder.iterdir()}
+    common.materialise(spark.range(3), "before")
+    before = count()
+    with common.intermediate(spark) as keep:
+        common.materialise(spark.range(3), "way")
+        out = keep(common.materialise(spark.range(5), "result"))
+    assert len(count() - before) == 1 and out.count() == 5
+    common.discard(out)
+    common.discard(spark.range(1))
+    assert count() == before
+
+
+def test_class_cuts_cost_little_and_hold_all_words():
+    counts = np.sort(np.random.default_rng(0).zipf(1.3, 3000))[::-1].clip(max=100_000).astype(float)
+    total = counts.sum() * 1.5
+    cuts = gru.class_cuts(counts, total)
+    size = np.diff(cuts)
+    cost = len(size) + sum(s * counts[a:b].sum() / total for s, a, b in zip(size, cuts, cuts[1:]))
+    assert cuts[0] == 0 and cuts[-1] == 3000 and (size > 0).all() and cost < 2 * 3000**0.5
+    assert gru.class_cuts(counts[:0], 0).tolist() == [0]
+
+
+def test_gru_probabilities_sum_to_one_and_gradients_are_right():
+    rng = np.random.default_rng(5)
+    m = gru.Gru(np.array([0, 1, 3, 7]), 3, counts=np.arange(9) + 1.0)
+    s = rng.normal(size=(1, 3)).astype(np.float32)
+    p = [float(np.exp(m._output(s, np.array([i]), None)[0][0])) for i in range(9)]
+    assert abs(sum(p) - 1) < 1e-5
+    assert np.allclose(p, [float(np.exp(m._output(s, np.array([i]), None, (1e9, np.full(3, 1e9)))[0][0])) for i in range(9)], atol=1e-6)
+    ids = np.array([0, 2, 5, 7, 8, 6])
+    s = rng.normal(size=(6, 3)).astype(np.float32)
+    grads = {k: np.zeros_like(v) for k, v in m.params.items()}
+    _, ds = m._output(s, ids, grads)
+    loss = lambda: -m._output(s, ids, None)[0].sum()
+    for name, at in (("Wc", (1, 2)), ("bc", (4,)), ("Wk", (5, 1)), ("bk", (2,))):
+        v = m.params[name]
+        old, v[at] = v[at], v[at] + 1e-2
+        up = loss()
+        v[at] = old - 1e-2
+        down, v[at] = loss(), old
+        assert abs((up - down) / 2e-2 - grads[name][at]) < 2e-3, name
+    old, s[2, 1] = s[2, 1], s[2, 1] + 1e-2
+    up = loss()
+    s[2, 1] = old - 1e-2
+    assert abs((up - loss()) / 2e-2 - ds[2, 1]) < 2e-3

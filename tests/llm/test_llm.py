@@ -212,7 +212,7 @@ def test_toxicity_small(docs, labels):
 
 
 def test_gru_gradient_and_carried_state():
-    m = gru.Gru(6, 4, counts=np.arange(8) + 1.0)
+    m = gru.Gru(np.array([0, 1, 3, 6]), 4, counts=np.arange(8) + 1.0)
     rng = np.random.default_rng(3)
     texts = [rng.integers(0, 8, n) for n in (70, 3, 0, 33)]
     texts = [np.where(t == 6, 7, t) for t in texts]
@@ -248,7 +248,7 @@ def lm_model(spark):
 
 
 def test_lm_trains_on_every_text(lm_model):
-    start = gru.Gru(lm_model.n_words, lm_model.hidden, counts=np.ones(lm_model.n_words + 2)).params["E"]
+    start = gru.Gru(lm_model.cuts, lm_model.hidden, counts=np.ones(lm_model.n_words + 2)).params["E"]
     moved = (lm_model.params["E"] != start).any(1)
     assert lm_model.n_words > 500 and moved[:500].all()  # the fillers and every text's own word
 
