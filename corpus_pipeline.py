@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import materialise, table
+from codeweft.llm.common import discard, intermediate, materialise, table
 from codeweft.llm.decontaminate import clean_documents
 from codeweft.llm.mixing import mixed_documents
 from codeweft.llm.ngram_join import distinct_documents
@@ -49,7 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written and read again; what it wrote on the way, and what it read, then goes."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with intermediate(spark) as keep:
+            out = keep(materialise(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
