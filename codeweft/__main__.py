@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import threading
 
 from pyspark.sql import SparkSession
 
 from codeweft.functions import embed as M
 from codeweft.plans import evaluate, load
 from codeweft.plans import tools as T
-from codeweft.sources import graph_json
+from codeweft.sources import embed_service, graph_json
 from codeweft.sources.store import Store
 
 
@@ -37,11 +38,21 @@ def parser() -> argparse.ArgumentParser:
     command("dupes", "graph", kind="prod", threshold=0.06, topk=4, pairs=False, framework=False, limit=20)
     command("path", "graph", "source", "target", hops=6)
     command("eval", "graph", "golden")
+    command("up", port=8080, host="127.0.0.1")
+    command("down")
     return p
 
 
 def answer(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     store = Store(spark, a.store)
+    if a.command == "up":  # until interrupted
+        server = embed_service.serve(a.port, a.host)
+        store.update_config(embed_url=f"http://{a.host}:{server.server_address[1]}")
+        threading.Event().wait()
+    if a.command == "down":
+        was = store.state("config").get("embed_url") or "unset"
+        store.update_config(embed_url="")
+        return [f"embed_url was {was}"]
     if a.command == "load":
         embed, why = M.choose_embedder(store.state("config"))
         done = load.load(store, a.graph, a.project, a.graph_json, a.labels, None if a.no_snippets else a.project, embed=embed, force=a.force, use_cache=not a.no_cache)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeweft.functions import exprs as E
-from codeweft.operators import dupes, search
+from codeweft.operators import dupes, search, vector_index
 
 
 @pytest.mark.parametrize("block", [20_000, 7])
@@ -73,3 +73,25 @@ def test_white_space_and_families(spark):
     x = spark.createDataFrame([(" \t .Foo()  ", " \t\n", "PayCommand", "PayCommandHandler")], "a string, b string, c string, d string")
     row = x.select(E.norm(F.col("a")), E.is_generic(F.col("b")), E.is_family_pair(F.col("c"), F.col("d")), E.is_family_pair(F.col("c"), F.col("c")), E.is_family_pair(F.col("d"), F.lit("Command")), E.text_jaccard(F.lit("a b c d"), F.lit("a b c d e"))).first()
     assert tuple(row) == ("foo", True, True, False, False, 0.5)
+
+
+def test_vector_index(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(30, 8))
+    m = (middle[rng.integers(0, 30, 900)] + 0.25 * rng.normal(size=(900, 8))).astype(np.float32)
+    v = spark.createDataFrame([(f"v{i}", [float(x) for x in r]) for i, r in enumerate(m)] + [("none", None), ("zero", [0.0] * 8)], "id string, embedding array<float>")
+    vector_index.build(v, str(tmp_path / "index"), sample=400)
+    index = vector_index.load(spark, str(tmp_path / "index"))
+    assert index[0].count() == 901 and len(index[1]) == 30
+    asked = v.where("try_cast(substring(id, 2) as int) % 50 = 0")
+    exact = search.knn_join(asked, v, 10).cache()
+    probes = vector_index.tuned_probes(v, index)
+    found = vector_index.index_join(asked, index, 10, probes).cache()
+    assert probes < 30 and vector_index.recall(found, exact) >= 0.9
+    split = vector_index.index_join(asked, index, 10, probes, block=7)
+    assert sorted(map(tuple, split.collect())) == sorted(map(tuple, found.collect()))
+    whole = vector_index.index_join(asked, index, 10, 30)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, exact.collect()))
+
+    assert "PartitionFilters: [isnotnull(list" in index[0].where("list = 3")._jdf.queryExecution().toString()
+    vector_index.build(v.limit(0), str(tmp_path / "empty"))
