@@ -34,7 +34,7 @@ from codeweft.llm.gru import Gru, class_cuts
 
 FREQUENT, SLOTS = 65_000, 21
 MODEL_WORDS, HIDDEN = 512, 16
-ROUNDS, FAN, UNIT = 2, 16, 1 << 20
+ROUNDS, FAN, UNIT, PARTITIONS = 2, 16, 1 << 20, 10_000
 RARE = 65_535
 #: Words that a task holds while it counts.
 HELD = 1 << 20
@@ -141,7 +141,8 @@ def _train(encoded: DataFrame, model: Gru, tokens: int) -> Gru:
     kind = "unit long, n double, flat binary"
     for r in range(ROUNDS):
         mine, left = rows.where(F.col("round") == r).select("unit", "key", "ids"), units
-        got = materialise(mine.groupBy("unit").applyInArrow(_learner(model.flat(), model.cuts, model.hidden), kind), "lm-params")
+        # a partition for each unit: training takes long for its bytes, so none should be merged
+        got = materialise(mine.repartition(min(units, PARTITIONS), "unit").groupBy("unit").applyInArrow(_learner(model.flat(), model.cuts, model.hidden), kind), "lm-params")
         while left > 1:
             new, left = materialise(got.groupBy(F.floor(F.col("unit") / FAN)).applyInArrow(_averaged, kind), "lm-params"), -(-left // FAN)
             discard(got)
