@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeweft.llm.common import chunks, fold, free_name, Slots, labelled_sample, prefix_sums, remainder, span_hash, spans, table
+from codeweft.llm.common import Slots, chunks, discard, fold, free_name, labelled_sample, materialise, prefix_sums, remainder, span_hash, spans, table
 
 PER_CLASS, SEED = 4000, "toxic-1"
 PREFIXES, TERMS, COMMON, LEAST, FACTORS = (5, 6, 7), 4096, 256, 12.0, 8
@@ -101,43 +101,52 @@ def _term_sets(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
 
 
+def _chosen(sets: DataFrame, toxic: int, clean: int) -> np.ndarray:
+    """Hashes of the terms to keep, counted where the sample lies: the most telling ones by log-likelihood ratio, then
+    the most frequent others of toxic texts, which may matter beside others only."""
+    one = sets.select(F.explode("terms").alias("h"), "y").groupBy("h").agg(F.count_if(F.col("y") == 1).cast("double").alias("a"), F.count_if(F.col("y") != 1).cast("double").alias("b"))
+    every, has = float(toxic + clean), F.col("a") + F.col("b")
+
+    def part(k, total, of):  # k of total rows, where `of` of every row would be expected to be spread evenly
+        return F.when(k > 0, k * F.log(k * every / (of * total))).otherwise(0.0)
+
+    ratio = 2 * (part(F.col("a"), toxic, has) + part(F.col("b"), clean, has) + part(toxic - F.col("a"), toxic, every - has) + part(clean - F.col("b"), clean, every - has))
+    told = one.withColumn("ratio", F.round(ratio, 6))
+    best = told.where(F.col("ratio") >= LEAST).orderBy(F.desc("ratio"), "h").limit(TERMS - COMMON).select("h").toArrow()["h"].to_numpy()
+    also = told.where("a >= 3").orderBy(F.desc("a"), "h").limit(TERMS).select("h").toArrow()["h"].to_numpy()
+    return np.concatenate([best, also[~np.isin(also, best)][:COMMON]]).astype(np.int64).view(np.uint64)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Machine:
+    """The driver gets the numbers of kept terms only: two bytes for each of a sample row's, TERMS at most."""
     sample = labelled_sample(labels.select("doc_id", label), label, per_class, SEED)
     sets = F.arrow_udf(_term_sets, "array<bigint>")
-    got = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("id")).select(sets("text").alias("terms"), "y", "of").toArrow()
-    y = got["y"].to_numpy().astype(float)
-    if len(set(y)) < 2:
-        return Machine(np.zeros(0, np.uint64), float(np.clip(1e3 * (y.mean() - 0.5), -30, 30)) if len(y) else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    lists = got["terms"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    h = lists.flatten().to_numpy().view(np.uint64)
-    row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
-    hashes, inverse = np.unique(h, return_inverse=True)
-    a = np.bincount(inverse, y[row], minlength=len(hashes))  # toxic rows with the term
-    b = np.bincount(inverse, minlength=len(hashes)) - a
-    p, n = y.sum(), len(y) - y.sum()
-
-    def part(k, total):
-        rest = (a + b) * total / len(y)
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / rest), 0)
-
-    out = lambda k, total, all_: np.where(total - k > 0, (total - k) * np.log(np.maximum(total - k, 1e-9) / np.maximum((len(y) - a - b) * total / len(y), 1e-9)), 0)
-    ratio = 2 * (part(a, p) + part(b, n) + out(a, p, a) + out(b, n, b))
-    best = np.lexsort((hashes, -ratio))[: TERMS - COMMON]
-    best = best[ratio[best] >= LEAST]
-    # terms that may matter beside others only: the most frequent ones in toxic texts, whatever their own ratio
-    also = np.lexsort((hashes, -a))
-    also = also[(a[also] >= 3) & ~np.isin(also, best)][:COMMON]
-    best = np.concatenate([best, also])
-    number = np.full(len(hashes), -1)
-    number[best] = np.arange(len(best))
-    ids = number[inverse]
+    rows = docs.join(F.broadcast(sample), docs["doc_id"] == F.col("id")).select("id", sets("text").alias("terms"), "y", "of")
+    rows = materialise(rows, "toxic-sample")
+    share = {float(r.y): r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two labels
+    toxic, clean = share.get(1.0, 0), sum(n for y, n in share.items() if y != 1.0)
+    if not toxic or not clean:
+        discard(rows)
+        return Machine(np.zeros(0, np.uint64), 30.0 if toxic else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
+    hashes = _chosen(rows, toxic, clean)
+    known = Slots(hashes, SLOTS)
+
+    @F.arrow_udf("binary")
+    def numbers(terms: pa.Array) -> pa.Array:
+        found = known(terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        ends = np.cumsum([len(x) if x.is_valid else 0 for x in terms])
+        return pa.array([np.sort(x[x >= 0]).astype(np.uint16).tobytes() for x in np.split(found, ends[:-1])] if len(terms) else [], pa.binary())
+
+    got = rows.select("id", numbers("terms").alias("ids"), "y", "of").toArrow().sort_by([("id", "ascending"), ("ids", "ascending")])
+    discard(rows)
+    y = (got["y"].to_numpy().astype(float) == 1).astype(float)
+    each = [np.frombuffer(x.as_buffer(), np.uint16) for x in got["ids"]]
+    row, ids = np.repeat(np.arange(len(y)), [len(x) for x in each]), np.concatenate(each).astype(np.int64)
     of = got["of"].to_numpy().astype(float)
-    weight = np.where(y == 1, of / p, of / n)
-    keep = ids >= 0
-    row, ids, weight = row[keep], ids[keep], weight / weight.mean()
-    bias, w, v = fit(row, ids, y, weight, len(best))
-    return Machine(hashes[best], bias + shift(row, ids, y, weight, len(best)), w, v)
+    weight = np.where(y == 1, of / toxic, of / clean)
+    weight = weight / weight.mean()
+    bias, w, v = fit(row, ids, y, weight, len(hashes))
+    return Machine(hashes, bias + shift(row, ids, y, weight, len(hashes)), w, v)
 
 
 def shift(row: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np.ndarray, n_terms: int) -> float:
