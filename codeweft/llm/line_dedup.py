@@ -17,7 +17,7 @@ paired with all others: no group is gathered, however frequent a line or passage
 
 Defined results: null or empty text has no lines; rows equal in id and text share their fate (the first of them isn't
 told apart); of places in one document the earlier comes first; a null doc_id comes after all others; a text of any
-length is one row, whose work grows with its lines alone, however often they repeat; empty tables give no rows; other
+length is one row, whose work does not depend on how often its lines repeat; empty tables give no rows; other
 columns, whatever their names, are kept. Words of a line: its spaces plus one.
 """
 
